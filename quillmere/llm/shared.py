@@ -1,0 +1,55 @@
+"""Folders that the driver and all executors share.
+
+Everything an operator materialises goes to a fresh folder below spark.checkpoint.dir. Spark's own writers commit tables
+atomically. Files that tasks write themselves get a name of their own for each attempt and count only once a committed
+table lists them, so a task that runs twice, or an executor that is lost, leaves nothing that is read later.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """URI of a new folder in the shared folder of the session; a session without one gets a local one, as in tests."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = "file://" + tempfile.mkdtemp(prefix="quillmere-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/quillmere/{label}-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame, label: str) -> DataFrame:
+    """Writes df once to the shared folder and reads it back: lineage ends there, and what is nondeterministic is fixed."""
+    spark = df.sparkSession
+    path = scratch(spark, label)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _filesystem(uri: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("/") else uri.replace("file:", "", 1))
+
+
+@contextmanager
+def writing(uri: str) -> Iterator:
+    """A binary file in the shared folder, for tasks; its folder is made if needed."""
+    filesystem, path = _filesystem(uri)
+    filesystem.create_dir(path.rpartition("/")[0], recursive=True)
+    with filesystem.open_output_stream(path) as out:
+        yield out
+
+
+def read_bytes(uri: str, start: int = 0, length: int | None = None) -> bytes:
+    """Bytes of a file in the shared folder, for tasks."""
+    filesystem, path = _filesystem(uri)
+    with filesystem.open_input_file(path) as source:
+        source.seek(start)
+        return source.read(length) if length is not None else source.read()
