@@ -43,7 +43,7 @@ def writing(uri: str) -> Iterator:
     """A binary file in the shared folder, for tasks; its folder is made if needed."""
     filesystem, path = _filesystem(uri)
     filesystem.create_dir(path.rpartition("/")[0], recursive=True)
-    with filesystem.open_output_stream(path) as out:
+    with filesystem.open_output_stream(path, compression=None) as out:
         yield out
 
 
