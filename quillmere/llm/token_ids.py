@@ -20,7 +20,9 @@ documents of their own; an empty table gives no files; further columns are ignor
 
 from __future__ import annotations
 
+import functools
 import json
+import os
 import re
 import struct
 import uuid
@@ -38,13 +40,7 @@ MAGIC = b"QMTOKEN1"
 BLOCK = 256
 PERCENTILE = 0.9
 _LANES = 64  # values that are packed together, into `width` words of 64 bits
-_ONE = np.uint64(1)
-
-#: How the byte-level vocabulary cuts a text into pieces.
-PIECES = r"'(?:[sdmt]|ll|ve|re)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
-#: Texts with characters outside these ranges, where classes of characters differ between libraries, are cut by the tokenizer.
-PLAIN = r"[^\t\n\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ‐-‧‰-⁞₠-₿]"
-
+_WIDE = re.compile(r"\s \s").search
 
 # --- blocks ---------------------------------------------------------------------------------------------------------
 
@@ -206,71 +202,106 @@ class Reader:
 
 
 class _Known(dict):
-    """Pieces by number; new ones get the next number and are listed."""
+    """Stretches by number; new ones get the next number and are listed."""
 
     def __init__(self):
         self.new: list[str] = []
 
-    def __missing__(self, piece: str) -> int:
-        self.new.append(piece)
-        self[piece] = n = len(self)
+    def __missing__(self, stretch: str) -> int:
+        self.new.append(stretch)
+        self[stretch] = n = len(self)
         return n
 
 
 class Encoder:
-    """Encodes texts; a piece that came before is not encoded again.
+    """Encodes texts; what came before is not encoded again.
 
-    Byte-level vocabularies encode the pieces of a text one by one, so equal pieces have equal ids. Texts are cut here, each
-    new piece goes through the tokenizer once, and ids are put together by number. The first MOST pieces are remembered, later
-    ones only for the stretch that they stand in.
+    A byte-level vocabulary cuts a text into pieces and encodes them one by one. There is always a cut before a space unless
+    white space stands on both sides of it, so a text without such spaces is the sequence of its stretches from one space to
+    the next: each new stretch goes through the tokenizer once, and ids are put together by number. Other texts go through
+    it whole. The first MOST stretches are remembered, later ones only for the group of texts that they stand in.
     """
 
-    MOST = 400_000
+    MOST = 500_000
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, pre_tokenizers
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
+        from tokenizers import Tokenizer
 
-        self.whole, self.single = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.single.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        for t in (self.whole, self.single):
-            t.encode_special_tokens = True
-        self.cut, self.odd = re.compile(PIECES).findall, re.compile(PLAIN).search
+        self.whole = Tokenizer.from_file(path)
+        self.whole.encode_special_tokens = True
+        # in this alphabet a character stands for a byte
+        self.n_bytes = np.array([len(self.whole.id_to_token(i) or "") for i in range(self.whole.get_vocab_size())], np.int64)
         self.known, self.ids, self.n_ids = _Known(), np.zeros(1 << 20, np.uint32), 0
         self.starts, self.lengths, self.n = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64), 0
 
+    @staticmethod
+    @functools.cache
+    def shared(path: str) -> Encoder:
+        """One for each worker process, for all its tasks; what it remembers does not change results."""
+        return Encoder(path)
+
+    def _spelled(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the stretches one after the other, and the number of ids of each.
+
+        Most go through the tokenizer as one text and are told apart by the bytes that their ids stand for; those that begin
+        or end in white space, which would change the cuts, go alone. A stretch stands without its space in front, and one
+        that has a space in front has none in the text.
+        """
+        lengths, parts = np.zeros(len(new), np.int64), []
+        plain = [i for i, x in enumerate(new) if x and not x[0].isspace() and not x[-1].isspace()]
+        if plain:
+            text = "".join([" " + new[i] for i in plain])
+            ids = np.array(self.whole.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            stops = np.searchsorted(np.cumsum(self.n_bytes[ids]), np.cumsum([1 + len(new[i].encode()) for i in plain]), "left") + 1
+            lengths[plain] = np.diff(stops, prepend=0)
+            parts = np.split(ids, stops[:-1])
+        each: list[np.ndarray] = [parts[0]] * len(new) if parts else [np.zeros(0, np.uint32)] * len(new)
+        for i, part in zip(plain, parts, strict=True):
+            each[i] = part
+        for i in set(range(len(new))).difference(plain):
+            each[i] = np.array(self.whole.encode(new[i][1:] if new[i][:1] == " " else " " + new[i], add_special_tokens=False).ids, np.uint32)
+            lengths[i] = len(each[i])
+        return np.concatenate(each), lengths
+
     def _learn(self, new: list[str]) -> None:
-        lists = [e.ids for e in self.single.encode_batch_fast(new, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter((i for x in lists for i in x), np.uint32, int(lengths.sum()))
-        while self.n_ids + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while self.n + len(lists) > len(self.starts):
-            self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
-        self.ids[self.n_ids : self.n_ids + len(flat)] = flat
-        self.starts[self.n : self.n + len(lists)] = self.n_ids + np.cumsum(lengths) - lengths
-        self.lengths[self.n : self.n + len(lists)] = lengths
-        self.n_ids, self.n = self.n_ids + len(flat), self.n + len(lists)
+        for at in range(0, len(new), 1024):
+            flat, lengths = self._spelled(new[at : at + 1024])
+            while self.n_ids + len(flat) > len(self.ids):
+                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+            while self.n + len(lengths) > len(self.starts):
+                self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
+            self.ids[self.n_ids : self.n_ids + len(flat)] = flat
+            self.starts[self.n : self.n + len(lengths)] = self.n_ids + np.cumsum(lengths) - lengths
+            self.lengths[self.n : self.n + len(lengths)] = lengths
+            self.n_ids, self.n = self.n_ids + len(flat), self.n + len(lengths)
 
     def encode(self, texts: list[str], end: int) -> list[np.ndarray]:
         """Ids of each text, with the end id."""
         number = self.known.__getitem__
-        cut = [None if self.odd(t) else np.fromiter(map(number, pieces := self.cut(t)), np.int64, len(pieces)) for t in texts]
+        cut: list[np.ndarray | None] = []
+        for t in texts:
+            if _WIDE(t):
+                cut.append(None)
+                continue
+            parts = t.split(" ")
+            parts[0] = " " + parts[0]
+            cut.append(np.fromiter(map(number, parts), np.int64, len(parts)))
         new, self.known.new, before = self.known.new, [], (self.n, self.n_ids)
         if new:
             self._learn(new)
         out = []
-        for text, pieces in zip(texts, cut, strict=True):
-            if pieces is None:
+        for text, parts in zip(texts, cut, strict=True):
+            if parts is None:
                 ids = np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
             else:
-                lengths = self.lengths[pieces]
+                lengths = self.lengths[parts]
                 ends = np.cumsum(lengths)
-                total = int(ends[-1]) if len(ends) else 0
-                ids = self.ids[np.repeat(self.starts[pieces] - ends + lengths, lengths) + np.arange(total)]
+                ids = self.ids[np.repeat(self.starts[parts] - ends + lengths, lengths) + np.arange(int(ends[-1]))]
             out.append(np.append(ids, np.uint32(end)))
         if self.n > self.MOST:
-            for piece in new:
-                del self.known[piece]
+            for stretch in new:
+                del self.known[stretch]
             self.n, self.n_ids = before
         return out
 
@@ -286,11 +317,11 @@ def write_tokens(docs: DataFrame, tokenizer: str, end: int, doc_id: str = "doc_i
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, number = None, TaskContext.get().partitionId()
+        number = TaskContext.get().partitionId()
         first = next((b for b in batches if b.num_rows), None)
         if first is None:
             return
-        encoder, uri = Encoder(tokenizer), f"{folder}/{number:06d}-{uuid.uuid4().hex}.tok"
+        encoder, uri = Encoder.shared(tokenizer), f"{folder}/{number:06d}-{uuid.uuid4().hex}.tok"
         with writing(uri) as out:
             writer = Writer(out)
             for batch in _chain(first, batches):
