@@ -104,11 +104,11 @@ class Cuckoo:
         mark, one, two = self._places(np.asarray(hi, np.int64), np.asarray(lo, np.int64))
         rng = np.random.default_rng(len(mark))
         at = one
-        for k in range(rounds):
-            for bucket in (at, self._other(at, mark)):
-                mark, at, placed = self._settle(mark, at, bucket)
-                if not len(mark):
-                    return True
+        for _ in range(rounds):
+            mark, at = self._settle(mark, at, at)
+            mark, at = self._settle(mark, at, self._other(at, mark))
+            if not len(mark):
+                return True
             # each of the rest takes the slot of another, which then looks for a place in its second bucket
             _, first = np.unique(at, return_index=True)
             slot = rng.integers(0, self.SLOTS, len(first))
@@ -132,7 +132,7 @@ class Cuckoo:
             rest = np.ones(len(mark), bool)
             rest[chosen] = False
             mark, at, bucket = mark[rest], at[rest], bucket[rest]
-        return mark, at, None
+        return mark, at
 
     def delete(self, hi: np.ndarray, lo: np.ndarray) -> None:
         """Takes out entries that were inserted."""
