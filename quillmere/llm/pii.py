@@ -219,7 +219,7 @@ def model() -> tuple[Boosted, dict[str, float]]:
         # the precision among all candidates from a score on; equal scores go together
         precision = np.cumsum(good) / np.arange(1, len(good) + 1)
         enough = np.flatnonzero((precision >= PRECISION) & (np.append(np.diff(s), -1.0) < 0))
-        limits[kind] = float(s[enough[-1]]) if len(enough) else np.inf
+        limits[kind] = max(0.0, float(s[enough[-1]])) if len(enough) else np.inf  # and more likely than not
     return trees, limits
 
 
