@@ -20,8 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmere.llm.exprs import space_words, text_of
-from quillmere.llm.ranks import ranged, with_rank
-from quillmere.llm.shared import materialise
+from quillmere.operators.ranks import ranged, with_rank
+from quillmere.shared import materialise
 
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3

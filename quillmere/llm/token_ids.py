@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmere.llm.shared import materialise, read_bytes, scratch, writing
+from quillmere.shared import materialise, read_bytes, scratch, writing
 
 MAGIC = b"QMTOKEN1"
 BLOCK = 256

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmere.llm.shared import _filesystem, materialise, scratch, writing
+from quillmere.shared import _filesystem, materialise, scratch, writing
 
 #: The field lines of the ARC versions.
 ARC_FIELDS = {
