@@ -14,9 +14,11 @@ Work on copies and near copies must not grow with the square of their number:
 
 - Equal sets are one class, named by a hash of the set, from the start.
 - A list's members are first compared with one of them alone, the most central (the one with the most frequent shingles);
-  what links is one component. Only pairs of members from different components are enumerated, so a list whose members
-  are all linked by then is done. Lists of shingles that are known to be frequent are split by member, and each part has
-  its own first member, which are compared among each other.
+  what links is one component. Lists of shingles that are known to be frequent are split by member, and each part has its
+  own first member, which are compared among each other. A list whose members are one component by then is done.
+- In longer ones of the other lists, members are compared by blocks with their whole sets, and a block yields a spanning
+  forest: a row for each component that is joined, not for each link. In short ones, pairs of members from different
+  components are enumerated.
 
 Candidates are verified with their whole sets. No list, group or number of partners is capped. What the driver learns is a
 histogram and a table of at most MOST_FREQUENT frequent shingles, by the 32-bit halves of their hashes; it only orders
@@ -49,6 +51,8 @@ LEAST_FREQUENT = 8
 MOST_FREQUENT = 1_000_000
 #: Members of a part of a frequent shingle's list.
 PART = 4096
+#: Lists of more members than this are settled by whole sets, in blocks of two parts of up to about BLOCK members.
+LONG, BLOCK = 64, 1024
 #: Ids of candidates are broadcast up to this number, else joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -326,11 +330,11 @@ def _lists(posted: DataFrame, threshold: int) -> DataFrame:
 _SETS = "cls long, tokens array<long>"
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, owners: DataFrame, k: int, threshold: int) -> DataFrame:
-    """Of pairs (a, b) of classes those that link; the classes' sets are made again from the texts of their owners."""
-    wanted = materialise(pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct().join(owners, "cls").select("doc_id").distinct(), "owners")
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
+def _sets(wanted: DataFrame, docs: DataFrame, owners: DataFrame, k: int) -> DataFrame:
+    """(cls, tokens) for these classes (cls), made again from the texts of their owners."""
+    ids = materialise(wanted.distinct().join(owners, "cls").select(F.col("doc_id").alias("_owner")).distinct(), "owners")
+    if ids.count() <= BROADCAST_ROWS:
+        ids = F.broadcast(ids)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -340,13 +344,81 @@ def _verified(pairs: DataFrame, docs: DataFrame, owners: DataFrame, k: int, thre
                 ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(names), pa.ListArray.from_arrays(pa.array(ends), pa.array(_signed(np.concatenate(found))))], names=["cls", "tokens"])
 
-    made = materialise(docs.join(wanted, docs[docs.columns[0]].eqNullSafe(wanted["doc_id"]), "left_semi").mapInArrow(make, _SETS).dropDuplicates(["cls"]), "candidate-sets")
+    owned = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_owner")), "left_semi").select("doc_id", "text")
+    return materialise(owned.mapInArrow(make, _SETS).dropDuplicates(["cls"]), "candidate-sets")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, owners: DataFrame, k: int, threshold: int) -> DataFrame:
+    """Of pairs (a, b) of classes those that link."""
+    made = _sets(pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))), docs, owners, k)
     one = made.select(F.col("cls").alias("a"), F.col("tokens").alias("x"))
     two = made.select(F.col("cls").alias("b"), F.col("tokens").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     return pairs.select("a", "b").join(one, "a").join(two, "b").where(100 * both >= threshold * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
+def forest(names: np.ndarray, tokens: list[np.ndarray], component: np.ndarray, side: np.ndarray, both_sides: bool, threshold: int) -> list[tuple[int, int]]:
+    """Links that join the components of these sets as all their links would: at most one less than there are components.
+
+    both_sides: only links between the two sides are wanted.
+    """
+    n = np.array([len(t) for t in tokens])
+    flat, owner = np.concatenate(tokens), np.repeat(np.arange(len(tokens)), n)
+    _, column, times = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = times[column] > 1
+    _, column = np.unique(column[shared], return_inverse=True)
+    owner = owner[shared]
+    common = np.zeros((len(tokens), len(tokens)), np.float32)
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        part = slice(np.searchsorted(column, at), np.searchsorted(column, at + 4096))
+        own = np.zeros((len(tokens), 4096), np.float32)
+        own[owner[part], column[part] - at] = 1
+        common += own @ own.T
+    linked = 100 * common >= threshold * (n[:, None] + n[None, :] - common)
+    if both_sides:
+        linked &= side[:, None] != side[None, :]
+    root = {c: c for c in component.tolist()}
+
+    def top(c: int) -> int:
+        while root[c] != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    out = []
+    left = len(root) - 1
+    comp = component.tolist()
+    for i in range(len(tokens)):
+        if not left:
+            break
+        for j in np.flatnonzero(linked[i, i + 1 :]) + i + 1:
+            a, b = top(comp[i]), top(comp[j])
+            if a != b:
+                root[a] = b
+                left -= 1
+                out.append((int(names[i]), int(names[j])))
+    return out
+
+
+def _forests(members: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Links (a, b) among the members (key, cls, component, size) of long lists, by blocks of two parts of a list."""
+
+    def join(pdf):
+        import pandas as pd
+
+        side = pdf["part"].to_numpy()
+        links = forest(pdf["cls"].to_numpy(), [np.asarray(t) for t in pdf["tokens"]], pdf["component"].to_numpy(), side, bool(pdf["i"].iloc[0] != pdf["j"].iloc[0]), threshold)
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+    parts = F.ceil(F.col("size") / BLOCK).cast("int")
+    cut = members.withColumn("part", F.pmod(F.xxhash64("cls"), parts).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), parts - 1))
+    cut = cut.select("key", "cls", "component", "part", other.alias("other"))
+    cut = cut.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "cls", "component", "part")
+    return cut.join(sets, "cls").groupBy("key", "i", "j").applyInPandas(join, "a long, b long").distinct()
+
+
 # --- the join -------------------------------------------------------------------------------------------------------
 
 
@@ -382,15 +454,20 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int
     members = listed.where("kind = 0").select("key", "cls", "n", "pos", "light")
     members = members.join(label.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     members = materialise(members, "members")
-    mixed = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    members = materialise(members.join(mixed, "key", "left_semi"), "mixed-members")
-    x, y = (members.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("cls", "n", "pos", "light", "component"))) for s in "ab")
+    mixed = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low <> high").select("key", "size")
+    members = materialise(members.join(mixed, "key"), "mixed-members")
+    # long lists: all that their members' whole sets link; pairs that meet in one are settled by that
+    long = members.where(F.col("size") > LONG).select("key", "cls", "component", "size")
+    joined = materialise(_forests(long, _sets(long.select("cls"), docs, owners, k), threshold), "long-links")
+    # short lists: pairs that share enough of them
+    short = members.where(F.col("size") <= LONG)
+    x, y = (short.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("cls", "n", "pos", "light", "component"))) for s in "ab")
     rest = 1 + F.least(F.col("n_a") - F.col("pos_a") - 1, F.col("n_b") - F.col("pos_b") - 1) + F.least("pos_a", "pos_b")
     close = ((100 + threshold) * rest >= threshold * (F.col("n_a") + F.col("n_b"))) & (100 * F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b"))
     met = x.join(y, "key").where((F.col("cls_a") < F.col("cls_b")) & (F.col("component_a") != F.col("component_b")) & close)
     met = met.groupBy(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).agg((F.max("light_a") | (F.count("*") >= 1 + F.floor(F.min(F.least("n_a", "n_b")) / 24))).alias("enough"))
     met = materialise(met.where("enough").select("a", "b"), "met")
-    more = _verified(met, docs, owners, k, threshold)
+    more = _verified(met, docs, owners, k, threshold).unionByName(joined)
     label = components(links.unionByName(more))
 
     named = label.join(owners.withColumnRenamed("cls", "node"), "node")
