@@ -77,7 +77,7 @@ def _places(docs: DataFrame, text: str, keep: list[str], hashes: DataFrame, leng
         step = words.select(*kept, "_words", *(s.alias(f"_at{k}") for k, s in found))
         around = lambda k: F.transform(f"_at{k}", lambda i: near(i, k, _hash(F.col("_words"), i, k)))
         hits = [around(k) for k in lengths]
-        step = step.select(*kept, n.cast("long").alias("n_words"), F.concat(*hits).alias("_hits") if hits else F.lit(None).alias("_hits"))
+        step = step.select(*kept, n.cast("long").alias("n_words"), F.concat(*hits).alias("_hits"))
         return materialise(step.withColumn("_row", F.monotonically_increasing_id()), "places")
     words = materialise(words.withColumn("_row", F.monotonically_increasing_id()), "doc-words")
 
@@ -113,7 +113,7 @@ def find(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "
     docs = docs.drop(*ADDED, "_row", "_hits", "_words")
     windows = materialise(windows_of(items, size, shingle, item_id, item_text), "windows")
     tokens = windows.select("w", "len", "items", F.explode("shingles").alias("s")).select("w", "len", "items", "s.o", "s.h")
-    lengths = [r[0] for r in windows.select(F.least("len", F.lit(shingle)).alias("k")).distinct().orderBy("k").collect()]
+    lengths = [r[0] for r in windows.select(F.least("len", F.lit(shingle)).alias("k")).distinct().orderBy("k").collect()] or [shingle]
     places = _places(docs, text, keep or docs.columns, tokens.select("h").distinct(), lengths, size, literals)
     hits = places.select("_row", "n_words", F.explode("_hits").alias("p")).select("_row", "n_words", "p.*")
     counts = hits.groupBy("h").agg(F.count("*").alias("freq"))

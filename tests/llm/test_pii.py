@@ -1,0 +1,60 @@
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from quillmere.llm import pii
+from tests.llm.common import docs
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def brute(t):
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    out = [("email", *m.span()) for m in EMAIL.finditer(t)]
+    out += [("ip", *m.span()) for m in IP.finditer(t) if all(int(x) <= 255 for x in m[0].split("."))]
+    out += [("card", *m.span()) for m in CARD.finditer(t) if 16 <= len(digits(m[0])) <= 19 and pii.luhn(digits(m[0]))]
+    return out + [("phone", *m.span()) for m in PHONE.finditer(t) if 8 <= len(digits(m[0])) <= 15]
+
+
+@pytest.mark.parametrize("alphabet", ["ab1.@-+ ()9%", "01 -", "a@.b", "+1 (2).3-", "255.0", "é1@.x\n"])
+def test_base_spans_agree_with_the_patterns(alphabet):
+    rng = random.Random(1)
+    for _ in range(4000):
+        t = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 45)))
+        assert pii.base_spans(t) == brute(t), t
+
+
+@pytest.mark.parametrize("text", ["1" * 200_000, "a" * 200_000 + "@", "@" * 200_000, "a@" * 100_000, "+1" * 100_000, "1.1" * 70_000, "(1)" * 70_000, " at " * 50_000])
+def test_long_texts_take_linear_time(text):
+    base = pii.base_spans(text)
+    pii.added_spans(text, base)
+
+
+def test_held_out_precision_and_recall():
+    trees, limits = pii.model()
+    rows, y = pii.examples(2000, 77)
+    s = trees.score(np.array([pii.features(*r) for r in rows], float))
+    kept = np.array([x >= limits[r[1]] for x, r in zip(s, rows, strict=True)])
+    assert y[kept].mean() >= 0.97 and kept[y == 1].mean() >= 0.9
+
+
+def test_added_spans_touch_no_base_span():
+    t = "call (269) 555-3296 or mail bob [at] mail [dot] com, +1 (578) 555-6437, ip 10.0.0.1, room 12 345"
+    base = pii.base_spans(t)
+    more = pii.added_spans(t, base)
+    assert {t[a:b] for _, a, b in more} == {"(269) 555-3296", "bob [at] mail [dot] com"}
+    assert "555" not in pii.redact(t, base + more)
+
+
+def test_frames(spark):
+    rows = [(1, None, None), (2, "", None), (3, "a@b.co é +1 234 567 890", None), (3, "a@b.co é +1 234 567 890", None), (None, "x@y.z", None)]
+    got = pii.detect(docs(spark, rows).withColumn("spans", F.lit(1)), redacted=True)
+    out = {(r["doc_id"], r["n_email"], r["n_phone"], r["base_spans"], r["redacted"]) for r in got.collect()}
+    assert out == {(1, 0, 0, "", ""), (2, 0, 0, "", ""), (3, 1, 1, "email:0:6,phone:9:23", "[EMAIL] é [PHONE]"), (None, 1, 0, "email:0:5", "[EMAIL]")}
+    assert got.count() == 5 and pii.detect(docs(spark, [])).collect() == []
