@@ -9,19 +9,26 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders made by operators that are being tidied up, innermost last.
+_made: list[list[str]] = []
+
+
 def scratch(spark: SparkSession, label: str) -> str:
     """URI of a new folder in the shared folder of the session; a session without one gets a local one, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="quillmere-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/quillmere/{label}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/quillmere/{label}-{uuid.uuid4().hex}"
+    if _made:
+        _made[-1].append(path)
+    return path
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -32,6 +39,26 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, uri: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def tidied(make: Callable[[], DataFrame], spark: SparkSession, label: str) -> DataFrame:
+    """What make() returns, written; the folders that were made on the way are removed."""
+    made: list[str] = []
+    _made.append(made)
+    try:
+        result = make()
+    finally:
+        _made.pop()
+    try:
+        return materialise(result, label)
+    finally:
+        for path in made:
+            remove(spark, path)
+
+
 def _filesystem(uri: str):
     from pyarrow import fs
 
