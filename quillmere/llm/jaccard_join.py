@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from quillmere.llm import shingles
 from quillmere.llm.components import components
-from quillmere.shared import materialise
+from quillmere.shared import materialise, tidied
 
 THRESHOLD = 85
 SHINGLE = 4
@@ -423,7 +423,14 @@ def _forests(members: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
-    """doc_id, n_shingles (long) and component_id: the smallest doc_id that links lead to, its own included."""
+    """doc_id, n_shingles (long) and component_id: the smallest doc_id that links lead to, its own included.
+
+    The result is written; what was written on the way to it is removed.
+    """
+    return tidied(lambda: _classes(docs, doc_id, text, k, threshold), docs.sparkSession, "components")
+
+
+def _classes(docs: DataFrame, doc_id: str, text: str, k: int, threshold: int) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     bits = max(4, math.ceil(math.log2(int(spark.conf.get("spark.sql.shuffle.partitions")))))
