@@ -29,7 +29,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest doc_id, of each group of near copies."""
-    classes = materialise(jaccard_join.classes(docs, k=SHINGLE, threshold=SIMILARITY), "near-duplicates")
+    classes = jaccard_join.classes(docs, k=SHINGLE, threshold=SIMILARITY)
     gone = classes.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
     same = classes.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_same"))
     # ids alone, and broadcast up to a checked number of them
@@ -40,9 +40,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no benchmark item contaminates."""
-    found = decontaminate.find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.where(~F.col("contaminated")).select(*docs.columns)
+    """Documents that no benchmark item contaminates. A decision goes by doc_id and text; the texts stay where they are."""
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("_text"), "text")
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = decontaminate.find(keyed, items, keep=["doc_id", "_text"]).where("contaminated")
+    hit = materialise(found.select(F.col("doc_id").alias("_hit"), F.col("_text").alias("_hit_text")).distinct(), "contaminated")
+    if hit.count() <= jaccard_join.BROADCAST_ROWS:
+        hit = F.broadcast(hit)
+    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("_hit")) & (F.xxhash64("text") == F.col("_hit_text")), "left_anti")
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
