@@ -23,9 +23,8 @@ BROADCAST_ROWS = 500_000
 
 
 def _trigrams(norm):
-    """Distinct stretches of three characters."""
-    at = F.sequence(F.lit(1), F.length(norm) - 2)
-    return F.when(F.length(norm) >= 3, F.array_distinct(F.transform(at, lambda i: F.substring(norm, i, F.lit(3))))).otherwise(F.array().cast("array<string>"))
+    """Distinct stretches of three characters: a look-ahead finds them at every place in one pass."""
+    return F.array_distinct(F.regexp_extract_all(norm, F.lit("(?s)(?=(.{3}))"), F.lit(1)))
 
 
 @dataclass
@@ -39,7 +38,9 @@ class Index:
     def build(cls, table: searching.Table, path: str) -> Index:
         spark, views = table.frame.sparkSession, Views()
         names = [f.name for f in table.schema.fields if f.type == "TEXT" and f.name != "_id"]
-        frame = table.frame
+        # analysis is the work here: a table of few splits is dealt out to all cores first
+        cores = spark.sparkContext.defaultParallelism
+        frame = table.frame if table.frame.rdd.getNumPartitions() >= cores else table.frame.repartition(cores)
         added = {}
         for n in names:
             added |= {f"_norm_{n}": views.norm(n), f"_spell_{n}": views.spell(n), f"_length_{n}": views.length(n)}
