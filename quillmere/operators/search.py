@@ -60,6 +60,7 @@ class Result:
     hits: DataFrame
     plan: b.Plan
     matched: DataFrame
+    scored: DataFrame  # every match with its score, in no order and without LIMIT and OFFSET
     mode: str
     seconds: float = 0.0
 
@@ -128,7 +129,7 @@ def search(table: Table, query: str, max_hits: int = 1000, k1: float = 1.2, b_:
     rows = frame if frame is not None else table.frame
     if plan.statement.mode == "EXPLAIN":
         empty = rows.limit(0).select("_id", "_row", F.lit(0.0).alias("score"), F.lit(None).cast("string").alias("document"))
-        return Result(empty, plan, empty, "explain")
+        return Result(empty, plan, empty, empty, "explain")
     stats = table.stats(scored_terms(plan.root, table.schema))
     compiled = Compiler(table.schema, Views(table.stored), stats, k1, b_).node(plan.root) if plan.root is not None else None
     sorted_by = [n for n, _ in plan.sort if n not in ("_score", "_id")]
@@ -142,11 +143,11 @@ def search(table: Table, query: str, max_hits: int = 1000, k1: float = 1.2, b_:
         # documents are fetched for the page alone
         page = page.select("_id", "_row", "score", *map(quoted, dict.fromkeys(sorted_by)))
         hits = page.join(rows.select(F.col("_row"), document.alias("document")), "_row").orderBy(*order_of(plan)).select("_id", "_row", "score", "document")
-        return Result(hits, plan, narrow, mode, time.time() - start)
+        return Result(hits, plan, narrow, ranked, mode, time.time() - start)
     matched = matching(table, plan, compiled, rows, [F.col("_id"), F.col("_row"), document.alias("document"), *map(quoted, dict.fromkeys(sorted_by))])
     scored = matched.withColumn("score", F.col("_vector") if plan.vector and not plan.lexical else F.col("_lexical"))
     hits = scored.orderBy(*order_of(plan)).offset(plan.offset).limit(plan.limit).select("_id", "_row", "score", "document")
-    return Result(hits, plan, matched, mode, time.time() - start)
+    return Result(hits, plan, matched, scored, mode, time.time() - start)
 
 
 def facet(table: Table, query: str, now: int | None = None) -> dict[str, DataFrame]:
