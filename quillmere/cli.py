@@ -1,4 +1,4 @@
-"""Command line: build, update, search, explain, stats, verify and repl. Exit codes 0, 1 (failed), 2 (usage)."""
+"""Command line: build, update, search, explain, stats, verify, repl, serve and mcp. Exit codes 0, 1 (failed), 2 (usage)."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ import json
 import sys
 
 from quillmere.errors import QuillmereError
+from quillmere.server import http_server, tools
 from quillmere.session import local_session
 from quillmere.sources.snapshot import Snapshot
 
@@ -14,13 +15,15 @@ from quillmere.sources.snapshot import Snapshot
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="quillmere")
     verbs = parser.add_subparsers(dest="verb", required=True)
-    for verb, names in (("build", ("source", "root")), ("update", ("root", "batch")), ("search", ("root", "query")), ("explain", ("root", "query")), ("stats", ("root",)), ("verify", ("root",)), ("repl", ("root",))):
+    for verb, names in (("build", ("source", "root")), ("update", ("root", "batch")), ("search", ("root", "query")), ("explain", ("root", "query")), ("stats", ("root",)), ("verify", ("root",)), ("repl", ("root",)), ("serve", ("root",)), ("mcp", ("root",))):
         sub = verbs.add_parser(verb)
         for name in names:
             sub.add_argument(name)
         if verb == "search":
             sub.add_argument("--scan", action="store_true")
             sub.add_argument("--limit", type=int, default=1000)
+        if verb == "serve":
+            sub.add_argument("--port", type=int, default=8080)
     args = parser.parse_args(argv)
     spark = local_session(shuffle_partitions=4)
     try:
@@ -37,6 +40,10 @@ def main(argv: list[str] | None = None) -> int:
                 print(table.explain(args.query), end="")
             case "stats":
                 print(json.dumps(table.stats()))
+            case "serve":
+                http_server(table, args.port).serve_forever()
+            case "mcp":
+                tools(table)
             case "verify":
                 table.verify()
             case "repl":
