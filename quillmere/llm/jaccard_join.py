@@ -52,7 +52,7 @@ MOST_FREQUENT = 1_000_000
 #: Members of a part of a frequent shingle's list.
 PART = 4096
 #: Lists of more members than this are settled by whole sets, in blocks of two parts of up to about BLOCK members.
-LONG, BLOCK = 64, 1024
+LONG, BLOCK = 64, 512
 #: Ids of candidates are broadcast up to this number, else joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -368,15 +368,20 @@ def forest(names: np.ndarray, tokens: list[np.ndarray], component: np.ndarray, s
     shared = times[column] > 1
     _, column = np.unique(column[shared], return_inverse=True)
     owner = owner[shared]
-    common = np.zeros((len(tokens), len(tokens)), np.float32)
+    exact = np.float32 if 200 * n.max() < 1 << 24 else np.float64
+    common = np.zeros((len(tokens), len(tokens)), exact)
     order = np.argsort(column, kind="stable")
     column, owner = column[order], owner[order]
-    for at in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
-        part = slice(np.searchsorted(column, at), np.searchsorted(column, at + 4096))
-        own = np.zeros((len(tokens), 4096), np.float32)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, 2048):
+        part = slice(np.searchsorted(column, at), np.searchsorted(column, at + 2048))
+        own = np.zeros((len(tokens), 2048), exact)
         own[owner[part], column[part] - at] = 1
         common += own @ own.T
-    linked = 100 * common >= threshold * (n[:, None] + n[None, :] - common)
+    common *= 100 + threshold  # in place: the matrices are what this takes of memory
+    least = (threshold * n).astype(exact)
+    common -= least[:, None]
+    linked = common >= least[None, :]
+    del common
     if both_sides:
         linked &= side[:, None] != side[None, :]
     root = {c: c for c in component.tolist()}

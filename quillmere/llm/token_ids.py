@@ -222,7 +222,7 @@ class Encoder:
     it whole. The first MOST stretches are remembered, later ones only for the group of texts that they stand in.
     """
 
-    MOST = 500_000
+    MOST = 250_000
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism

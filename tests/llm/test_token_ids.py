@@ -48,7 +48,7 @@ def test_encoder_agrees_with_the_tokenizer(monkeypatch):
     rng = random.Random(4)
     texts = ["", " ", "  ", "a  b", "a\n b", "a \n b", " \n ", "it's we'll", "日本語 テキスト", "é\xa0x   y", "<|endoftext|> x", "1½ ²", "a\x1cb \x1c c"]
     texts += ["".join(rng.choice([" ", "  ", "\n", "\t", "ab", "é", "1", ".", "'s", "　", "字"]) for _ in range(rng.randrange(40))) for _ in range(400)]
-    for most in (500_000, 5):
+    for most in (250_000, 5):
         monkeypatch.setattr(token_ids.Encoder, "MOST", most)
         e = token_ids.Encoder(PATH)
         for _ in range(2):
