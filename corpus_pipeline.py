@@ -28,15 +28,22 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest doc_id, of each group of near copies."""
-    classes = jaccard_join.classes(docs, k=SHINGLE, threshold=SIMILARITY)
-    gone = classes.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    same = classes.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_same"))
-    # ids alone, and broadcast up to a checked number of them
-    gone, same = (F.broadcast(ids) if ids.count() <= jaccard_join.BROADCAST_ROWS else ids for ids in (materialise(gone, "gone"), materialise(same, "same")))
-    kept = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
-    repeated = F.col("doc_id").eqNullSafe(F.col("_same"))
-    return kept.join(same, repeated, "left_anti").unionByName(kept.join(same, repeated, "left_semi").dropDuplicates(["doc_id", "text"]))
+    """One row of each group of near copies: that with the smallest doc_id (null last), of equal ones that with the smallest
+    hash of its text. Rows are told apart by a written number, so null or repeated doc_ids take no other row along."""
+    keyed = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    classes = jaccard_join.classes(keyed, doc_id="_row", k=SHINGLE, threshold=SIMILARITY).withColumnRenamed("doc_id", "_row")
+    rows = keyed.select("_row", F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_text")).join(classes, "_row")
+    # texts without words link with nothing; of these only rows with one doc_id and one text are one document
+    empty = F.col("n_shingles") == 0
+    group = (F.when(~empty, F.col("component_id")), F.when(empty, F.col("_id")), F.when(empty, F.col("_text")))
+    rows = materialise(rows.select("_row", "_id", "_text", *(g.alias(f"_group{i}") for i, g in enumerate(group))), "rows")
+    first = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_text", "_row")).alias("first")
+    kept = rows.groupBy("_group0", "_group1", "_group2").agg(first).select("first._row")
+    # numbers alone, and broadcast up to a checked number of them
+    gone = materialise(rows.select("_row").join(kept, "_row", "left_anti"), "gone")
+    if gone.count() <= jaccard_join.BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    return keyed.join(gone, "_row", "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

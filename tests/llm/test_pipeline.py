@@ -33,3 +33,24 @@ def test_empty_documents(spark, tmp_path):
     docs(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, "a b c")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_near_duplicates_are_decided_by_row(spark, tmp_path):
+    pipeline = importlib.import_module("corpus_pipeline")
+    rng = random.Random(5)
+    x, y, z, u, v, w = (prose(rng, 200, 5000) for _ in range(6))
+    near = lambda t: t + " one more end"
+    rows = [
+        (1, x, "a"), (5, x, "a"), (5, y, "a"),  # a copy does not take another text of its id along
+        (None, x, "a"), (None, z, "a"),  # nor all rows without an id
+        (7, u, "a"), (7, near(u), "a"),  # near copies with one id
+        (None, v, "a"), (None, near(v), "a"),  # and without one
+        (9, w, "a"), (9, w, "b"), (8, near(w), "a"),
+        (10, " ", "a"), (10, " ", "a"), (11, " ", "a"), (10, "", "a"), (None, None, "a"), (None, None, "a"),
+    ]
+    table = docs(spark, rows)
+    got = pipeline.near_duplicates(spark, table, str(tmp_path))
+    assert got.columns == table.columns
+    name = {x: "x", y: "y", z: "z", u: "u", near(u): "u", v: "v", near(v): "v", near(w): "w near"}
+    out = sorted(((r["doc_id"], name.get(r["text"], r["text"])) for r in got.collect()), key=str)
+    assert out == sorted([(1, "x"), (5, "y"), (None, "z"), (7, "u"), (None, "v"), (8, "w near"), (10, " "), (11, " "), (10, ""), (None, None)], key=str)
