@@ -1,7 +1,8 @@
 """Personal data by candidate gradient boosting.
 
 Generators with high recall propose spans that may overlap: everything that the exact base patterns accept, and looser forms
-(addresses spelled with "at" and "dot", telephone numbers without a plus, numbers in groups). Boosted trees score each loose
+(addresses spelled with "at" and "dot" in any case, digits of a telephone or card number with any of the usual separators or
+none, IP addresses with spelled or spaced dots, IPv6). Boosted trees score each loose
 candidate from its format and its context. Their scores are calibrated on examples of their own, per kind, and a candidate
 is redacted from the threshold on at which the calibrated precision is PRECISION. Spans of base patterns are always kept; a
 candidate that touches one, or a better candidate, is dropped.
@@ -19,6 +20,7 @@ gives an empty result; other columns are kept, clashing ones replaced.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import re
 from collections.abc import Iterator
@@ -81,34 +83,77 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 # --- candidates -----------------------------------------------------------------------------------------------------
 
-LOOSE_EMAIL = re.compile(r"(?<![\w.%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}(?: ?[\[({] ?at ?[\])}] ?| at )[A-Za-z0-9-]{1,63}(?:(?: ?[\[({] ?dot ?[\])}] ?| dot |\.)[A-Za-z0-9-]{1,63}){1,4}")
-LOOSE_PHONE = re.compile(r"(?<![\w.+(-])\(?[0-9]{2,4}\)?(?:[ .-][0-9]{2,4}){1,4}(?![\w-])")
-PHONE_WORDS = re.compile(r"\b(?:tel|telefon|telefono|teléfono|téléphone|phone|mobile|mobil|cell|call|fax|whatsapp|handy)\b", re.I)
+AT_SIGN = re.compile(r" {0,2}[\[({<] ?(?:at|arroba|@) ?[\])}>] {0,2}|(?<=[A-Za-z0-9]) {1,2}(?:at|arroba|@) {1,2}|@ ?| @", re.I)
+LOOSE_LOCAL = re.compile(r"(?<![\w.%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}\Z")
+LOOSE_DOMAIN = re.compile(r"[A-Za-z0-9-]{1,63}(?:(?: {0,2}[\[({<] ?(?:dot|punkt|punto|point|\.) ?[\])}>] {0,2}| {1,2}(?:dot|punkt|punto|point|\.) {1,2}|\.)[A-Za-z0-9-]{1,63}){1,4}", re.I)
+#: Digits with up to three separators between two of them. It is cut at blanks into the numbers that may be meant.
+DIGITS = re.compile(r"(?<![\w+])\+?(?:\( ?)?[0-9](?:[ ()./_–-]{0,3}[0-9])*")
+PARTS = 7
+LOOSE_IP = re.compile(r"(?<![\w.])[0-9]{1,3}(?:(?: {0,2}[\[({] ?(?:dot|\.) ?[\])}] {0,2}| {1,2}dot {1,2}| {0,2}\. {0,2})[0-9]{1,3}){3}(?![\w])(?!\.[0-9])", re.I)
+IP_6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}|(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?)(?![\w:])")
+PHONE_WORDS = re.compile(r"\b(?:tel|telefon|telefono|teléfono|téléphone|phone|mobile|mobil|cell|call|fax|whatsapp|handy|number|nummer)\b", re.I)
 MAIL_WORDS = re.compile(r"\b(?:mail|e-mail|email|contact|write|reach|correo|kontakt)\b", re.I)
+IP_WORDS = re.compile(r"\b(?:ip|ipv4|ipv6|host|server|address|addr|ping|client|from)\b", re.I)
+CARD_WORDS = re.compile(r"\b(?:card|visa|mastercard|amex|credit|debit|karte|kreditkarte|tarjeta|carte|cc)\b", re.I)
+WORDS = {"email": MAIL_WORDS, "ip": IP_WORDS, "card": CARD_WORDS, "phone": PHONE_WORDS}
 ENDINGS = frozenset("com org net edu gov info io de fr es it uk eu example test".split())
 
-FEATURES = ("kind", "length", "digits", "groups", "longest_group", "shortest_group", "parens", "dots", "dashes", "spaces", "brackets", "known_ending", "word_before", "word_near", "digit_before", "digit_after", "upper_share", "grouping_3_3_4", "year_like")
+FEATURES = ("kind", "length", "digits", "groups", "longest_group", "shortest_group", "parens", "dots", "dashes", "spaces", "brackets", "known_ending", "word_before", "word_near", "digit_before", "digit_after", "upper_share", "grouping_3_3_4", "year_like", "slashes", "plus", "first_zero", "luhn", "byte_parts", "colons", "at_bare")
+
+
+def _numbers(text: str) -> Iterator[tuple[str, int, int]]:
+    for chain in DIGITS.finditer(text):
+        if chain.end() - chain.start() < 6:
+            continue
+        parts = [(m.start(), m.end(), sum("0" <= c <= "9" for c in m[0])) for m in re.compile(r"[^ ]+").finditer(text, *chain.span())]
+        parts = [p for p in parts if p[2]]
+        if text[chain.end() : chain.end() + 1].isalnum():
+            parts.pop()
+        for i in range(len(parts)):
+            for j in range(min(i + PARTS, len(parts)) - 1, i - 1, -1):
+                n = sum(p[2] for p in parts[i : j + 1])
+                if not 6 <= n <= 19:
+                    continue
+                start, end = parts[i][0], parts[j][1]
+                while not "0" <= text[end - 1] <= "9":
+                    end -= 1
+                while text[start] not in "+(0123456789" or text[start] == "(" and ")" not in text[start:end]:
+                    start += 1
+                if n <= 15:
+                    yield ("phone", start, end)
+                if n >= 13:
+                    yield ("card", start, end)
 
 
 def candidates(text: str) -> Iterator[tuple[str, int, int]]:
     """Loose forms; they may overlap base spans and one another."""
-    if " at " in text or "[at" in text or "(at" in text or "{at" in text or "at]" in text or "at)" in text:
-        for m in LOOSE_EMAIL.finditer(text):
-            yield ("email", *m.span())
-    for m in LOOSE_PHONE.finditer(text):
-        yield ("phone", *m.span())
+    for m in AT_SIGN.finditer(text):
+        local = LOOSE_LOCAL.search(text, max(0, m.start() - 65), m.start())
+        domain = LOOSE_DOMAIN.match(text, m.end()) if local else None
+        if local and domain:
+            yield ("email", local.start(), domain.end())
+    if "." in text or "dot" in text.lower():
+        for m in LOOSE_IP.finditer(text):
+            yield ("ip", *m.span())
+    if ":" in text:
+        for m in IP_6.finditer(text):
+            if m.end() - m.start() > 2:
+                yield ("ip", *m.span())
+    yield from _numbers(text)
 
 
 def features(text: str, kind: str, start: int, end: int) -> list[float]:
     body = text[start:end]
     before, after = text[max(0, start - 24) : start], text[end : end + 24]
     groups = re.findall(r"[0-9]+", body)
-    words = MAIL_WORDS if kind == "email" else PHONE_WORDS
+    words = WORDS[kind]
     sizes = [len(g) for g in groups]
+    digits = "".join(groups)
     return [
         KINDS.index(kind), len(body), sum(sizes), len(groups), max(sizes, default=0), min(sizes, default=0), body.count("(") + body.count(")"), body.count("."), body.count("-"), body.count(" "),
         sum(body.count(c) for c in "[]{}()"), re.split(r"[\W_]+", body.lower().rstrip(")]} "))[-1] in ENDINGS, bool(words.search(before[-12:])), bool(words.search(before) or words.search(after)),
         bool(re.search(r"[0-9]\W{0,2}\Z", before)), bool(re.match(r"\W{0,2}[0-9]", after)), sum(c.isupper() for c in body) / max(1, len(body)), sizes[-3:] == [3, 3, 4], bool(groups) and len(groups[0]) == 4 and groups[0][:2] in ("19", "20"),
+        body.count("/"), body[0] == "+", digits[:1] == "0", 13 <= len(digits) <= 19 and luhn(digits), len(groups) == 4 and all(len(g) <= 3 and int(g) <= 255 for g in groups), body.count(":"), bool(re.search(r"[A-Za-z0-9] (?:at|arroba) [A-Za-z0-9-]+\.", body, re.I)),
     ]
 
 
@@ -175,28 +220,63 @@ def examples(n: int, seed: int) -> tuple[list[tuple[str, str, int, int]], np.nda
     number = lambda k: "".join(str(d) for d in rng.integers(0, 10, k))
     prose = lambda: " ".join(word() for _ in range(rng.integers(2, 8)))
     rows, labels = [], []
+    valid = lambda k: next(d for d in iter(lambda: pick(*"3456") + number(k - 1), None) if luhn(d))
+    wrong = lambda k: next(d for d in iter(lambda: number(k), None) if not luhn(d))
+    grouped = lambda d, by: by.join((d[:4], d[4:10], d[10:]) if len(d) == 15 else (d[i : i + 4] for i in range(0, len(d), 4)))
+    part = lambda: str(rng.integers(0, 256))
+    digit = lambda: str(rng.integers(1, 10))
+    hexes = lambda k: ":".join(f"{rng.integers(0, 65536):x}" for _ in range(k))
+    call = lambda: pick("call ", "tel ", "phone: ", "Tel. ", "mobile ", "fax ", "Telefon ", "TEL: ", "whatsapp ", "my number is ")
     while len(rows) < n:
-        case = rng.integers(8)
+        case = rng.integers(15)
         lead = ""
-        if case == 0:
-            at, dot = pick(" [at] ", "(at)", " (at) ", "[at]", " {at} ", " at "), pick(" [dot] ", "(dot)", " (dot) ", "[dot]", ".", " dot ")
+        if case in (0, 8):
+            at, dot = pick(" [at] ", "(at)", " (at) ", "[at]", " {at} ", " at ", " @ ", "[@]", " arroba ", "<at>"), pick(" [dot] ", "(dot)", " (dot) ", "[dot]", ".", " dot ", "[.]", " punto ")
             body, kind, good = f"{word()}{pick('', '.', '_')}{pick('', number(2))}{at}{word()}{dot}{pick(*sorted(ENDINGS))}", "email", True
+            body = pick(body, body.upper(), body.replace("at", "AT").replace("dot", "DOT"), body.title()) if case else body
             if at == " at " and dot == ".":
                 lead = pick("mail ", "e-mail: ", "contact ", "write to ")
         elif case == 1:
             body, kind, good = f"{word()} at {word()}{pick('.', ' dot ')}{word()}", "email", False
+            body = pick(body, body, body.title(), body.upper())
         elif case in (2, 3):
-            lead, kind, good = pick("call ", "tel ", "phone: ", "Tel. ", "mobile ", "fax ", "Telefon "), "phone", True
+            lead, kind, good = call(), "phone", True
             body = pick(f"({number(3)}) {number(3)}-{number(4)}", f"{number(3)}-{number(3)}-{number(4)}", f"{number(3)} {number(3)} {number(4)}", f"0{number(2)} {number(4)} {number(4)}")
         elif case == 4:
             body, kind, good = pick(f"({number(3)}) {number(3)}-{number(4)}", f"{number(3)}-{number(3)}-{number(4)}"), "phone", True
         elif case == 5:
             body, kind, good = pick(f"{pick('19', '20')}{number(2)}-{number(2)}-{number(2)}", f"{number(2)}.{number(2)}.{pick('19', '20')}{number(2)}", f"{pick('19', '20')}{number(2)}-{pick('19', '20')}{number(2)}"), "phone", False
+            body = pick(body, body.replace("-", "/").replace(".", "/"), f"{body} {number(2)}")
         elif case == 6:
             body, kind, good = pick(f"{number(2)} {number(3)}", f"{number(3)} {number(3)}", f"{number(4)}.{number(2)}", f"{number(3)} {number(2)} {number(2)}", f"{number(4)}-{number(4)}-{number(4)}", f"{number(4)} {number(4)} {number(4)} {number(4)}"), "phone", False
             lead = pick("", "page ", "room ", "items ", "order ", f"{number(3)} ")
-        else:
+        elif case == 7:
             body, kind, good = pick(f"{number(3)}-{number(2)}-{number(4)}", f"{number(2)}-{number(3)}", f"{number(2)}.{number(2)}.{number(2)}"), "phone", False
+        elif case in (9, 10):
+            lead, kind, good = call(), "phone", True
+            body = pick(
+                number(int(rng.integers(7, 13))), f"0{number(2)} {number(7)}", f"0{number(3)}/{number(7)}", f"{digit()}-{number(3)}-{number(3)}-{number(4)}", f"({number(3)}){number(3)}-{number(4)}", f"0{number(2)}/{number(3)} {number(2)} {number(2)}", f"0{digit()} {number(2)} {number(2)} {number(2)} {number(2)}",
+                f"{number(3)}-{number(4)}", f"{number(3)}.{number(3)}.{number(4)}", f"00{number(2)} {number(2)} {number(7)}", f"+{number(2)}/{number(3)}/{number(6)}", f"{digit()} ({number(3)}) {number(3)}-{number(4)}", f"(0{number(2)}) {number(7)}",
+            )
+        elif case == 11:
+            lead, kind, good = pick("", "id ", "order ", "item ", "total ", "isbn ", "ref "), "phone", False
+            body = pick(number(int(rng.integers(6, 13))), f"{number(3)} {number(3)} {number(3)}", f"{number(2)}/{number(2)}/{pick('19', '20')}{number(2)}", f"978-{digit()}-{number(2)}-{number(6)}-{digit()}", f"{number(4)}/{number(4)}", f"{digit()} {number(3)} {number(3)}", f"{number(6)}.{number(2)}")
+        elif case == 12:
+            kind, good = "card", True
+            lead = pick("", "card ", "visa ", "credit card: ", "amex ", "Karte ")
+            k = int(pick(15, 16, 16))
+            body = grouped(valid(k), pick(".", "  ", "/", " - ", "\u2013", "_") if k == 16 else pick(" ", "-", ".", ""))
+        elif case == 13:
+            kind, good, lead = "card", False, pick("", "id ", "tracking ", "order ", "serial ")
+            k = int(pick(13, 14, 15, 16))
+            body = pick(wrong(k), grouped(wrong(k), pick(".", " ", "-", "/", "  ")))
+        else:
+            kind, good, lead = "ip", bool(rng.integers(2)), ""
+            if good:
+                lead = pick("", "ip ", "host ", "server ", "from ")
+                body = pick(pick("[.]", "(.)", " . ", " dot ", "[dot]", " [dot] ", " DOT ").join(part() for _ in range(4)), hexes(8), f"{hexes(2)}::{hexes(1)}", f"fe80::{hexes(int(rng.integers(1, 5)))}")
+            else:
+                body = pick(pick(". ", " . ", " dot ").join(str(rng.integers(256, 1000)) for _ in range(4)), ". ".join(number(int(rng.integers(1, 4))) for _ in range(4)), f"::{pick('ad', 'be', 'face', 'add')}", f"{pick('a', 'bad', 'ace')}::{pick('dad', 'fed', 'b')}")
         text = f"{prose()} {lead}{body}{pick('', '.', ',')} {prose()}"
         start = text.index(lead + body) + len(lead)
         rows.append((text, kind, start, start + len(body)))
@@ -204,15 +284,25 @@ def examples(n: int, seed: int) -> tuple[list[tuple[str, str, int, int]], np.nda
     return rows, np.array(labels, float)
 
 
+def _with_parts(n: int, seed: int) -> tuple[list[tuple[str, str, int, int]], np.ndarray]:
+    """Examples, and as wrong ones what else the generators propose in the same texts."""
+    rows, y = examples(n, seed)
+    more = []
+    for row in rows:
+        base = base_spans(row[0])
+        more += [(row[0], *c) for c in dict.fromkeys(candidates(row[0])) if c != row[1:] and not _touches(_starts(base), c)]
+    return rows + more, np.append(y, np.zeros(len(more)))
+
+
 @functools.cache
 def model() -> tuple[Boosted, dict[str, float]]:
     """The trees, and for each kind the score from which the calibrated precision on examples of their own is PRECISION."""
-    rows, y = examples(N_TRAIN, 1)
-    trees = Boosted().fit(np.array([features(*r) for r in rows], float), y)
-    rows, y = examples(N_TRAIN, 2)
+    rows, y = _with_parts(N_TRAIN, 1)
+    trees = Boosted(rounds=80, depth=4).fit(np.array([features(*r) for r in rows], float), y)
+    rows, y = _with_parts(N_TRAIN, 2)
     score = trees.score(np.array([features(*r) for r in rows], float))
     limits = {}
-    for kind in ("email", "phone"):
+    for kind in KINDS:
         own = np.array([r[1] == kind for r in rows])
         order = np.argsort(-score[own], kind="stable")
         s, good = score[own][order], y[own][order]
@@ -223,17 +313,33 @@ def model() -> tuple[Boosted, dict[str, float]]:
     return trees, limits
 
 
+def _starts(spans: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    """Sorted (start, end), and none that ends before the one before it."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted((a, b) for _, a, b in spans):
+        out.append((a, max(b, out[-1][1]) if out else b))
+    return out
+
+
+def _touches(taken: list[tuple[int, int]], span: tuple[str, int, int]) -> bool:
+    i = bisect.bisect_left(taken, (span[2], 0))
+    return i > 0 and taken[i - 1][1] > span[1]
+
+
 def added_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """What the trees select beside the base spans: the best candidates first, none touching another span."""
-    found = [c for c in candidates(text) if not any(a < c[2] and c[1] < b for _, a, b in base)]
+    taken = _starts(base)
+    found = [c for c in dict.fromkeys(candidates(text)) if not _touches(taken, c)]
     if not found:
         return []
     trees, limits = model()
     scores = trees.score(np.array([features(text, *c) for c in found], float))
     out: list[tuple[str, int, int]] = []
+    taken = []
     for i in np.argsort(-scores, kind="stable"):
         kind, start, end = found[i]
-        if scores[i] >= limits[kind] and not any(a < end and start < b for _, a, b in out):
+        if scores[i] >= limits[kind] and not _touches(taken, found[i]):
+            bisect.insort(taken, (start, end))
             out.append(found[i])
     return out
 
@@ -251,7 +357,7 @@ def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join([*out, text[end:]])
 
 
-_ANY = re.compile(r"[0-9@\[({]| at ").search
+_ANY = re.compile(r"[0-9@\[({<]| (?:at|arroba) |::", re.I).search
 _ADDED = (*(f"n_{k}" for k in KINDS), "base_spans", "spans")
 
 
