@@ -8,6 +8,10 @@ The field is trained here on made-up labelled pages (N_PAGES of them, from a see
 gradient ascent of the likelihood, with the forward-backward sums of all pages at a time. Its weights, a few hundred
 numbers, go to the tasks; the input's size plays no role in training.
 
+Scripts and styles are skipped, without an end up to the page's. Other elements with content of their own (svg, object, button
+and so on) are blocks with that element among their ancestors; unclosed ones end with their parent, and svg and math also at
+'/>' or an element of HTML. The text of math belongs to its sentence.
+
 Defined cases: a null or empty page, or one without text, gives an empty text; unclosed tags, quotes and comments end with
 the page; very long pages take linear time; repeated rows are each parsed; an empty table gives an empty result; other
 columns are kept, clashing ones replaced.
@@ -26,7 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: HTML's elements by how they are read.
-RAW = ("script", "style", "noscript", "template", "svg", "iframe", "textarea", "title", "math", "object", "canvas", "select", "button")
+RAW = ("script", "style")
+#: Elements that stand in a line: what they hold is a block of its own, but without text they do not break the flow.
+WIDGETS = frozenset("svg object canvas iframe select button textarea noscript template".split())
+FOREIGN = frozenset(("svg", "math"))
+#: Elements of HTML that end svg and math.
+BREAKS_OUT = frozenset("article aside blockquote body center dd div dl dt footer form h1 h2 h3 h4 h5 h6 head header hr li main nav ol p pre section table tbody td th tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: Elements that an opening tag of the same group closes.
@@ -57,15 +66,19 @@ class _Page:
     link_parts: list[str] = field(default_factory=list)
     in_link: bool = False
     blocks: list[Block] = field(default_factory=list)
+    #: Places of open widgets in the stack: those with text, and after them those without any so far.
+    told: list[int] = field(default_factory=list)
+    silent: list[int] = field(default_factory=list)
 
     def flush(self) -> None:
         if not self.parts:
             return
+        stack = self.stack[: self.silent[0]] if self.silent else self.stack
         text = " ".join(self.decode(self.parts).split())
         if text:
-            marks = frozenset().union(*(m for _, m in self.stack if m))
+            marks = frozenset().union(*(m for _, m in stack if m))
             linked = len(" ".join(self.decode(self.link_parts).split())) if self.link_parts else 0
-            self.blocks.append(Block(self.stack[-1][0] if self.stack else "", frozenset(t for t, _ in self.stack), marks, text, linked))
+            self.blocks.append(Block(stack[-1][0] if stack else "", frozenset(t for t, _ in stack), marks, text, linked))
         self.parts, self.link_parts = [], []
 
     @staticmethod
@@ -75,6 +88,9 @@ class _Page:
 
     def add(self, text: str) -> None:
         if text:
+            if self.silent and not text.isspace():
+                self.flush()
+                self.told, self.silent = self.told + self.silent, []
             self.parts.append(text)
             if self.in_link:
                 self.link_parts.append(text)
@@ -83,6 +99,9 @@ class _Page:
         """Closes the innermost of these elements, unless an element of `within` stands above it."""
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][0] in tags:
+                if self.told and self.told[-1] >= i:
+                    self.flush()
+                self.told, self.silent = ([k for k in x if k < i] if x else x for x in (self.told, self.silent))
                 del self.stack[i:]
                 return
             if self.stack[i][0] in within:
@@ -90,8 +109,14 @@ class _Page:
 
     def open(self, tag: str, marks: frozenset[str]) -> None:
         if len(self.stack) < 512:  # deeper elements count as part of their parents
+            if tag in WIDGETS:
+                self.silent.append(len(self.stack))
             self.stack.append((tag, marks))
 
+    def foreign(self) -> bool:
+        """Whether the innermost of svg, math and foreignobject is one of the first two."""
+        return next((t in FOREIGN for t, _ in reversed(self.stack) if t in FOREIGN or t == "foreignobject"), False)
+
 
 #: Words of classes and ids by what they hint at.
 HINTS = {
@@ -121,6 +146,7 @@ def blocks(page: str) -> list[Block]:
     p, at, n = _Page(), 0, len(page)
     last_end = page.rfind(">")
     unclosed: set[str] = set()
+    drawn = False  # whether svg or math was met
     while at < n:
         start = page.find("<", at)
         if start < 0 or start > last_end:
@@ -154,19 +180,37 @@ def blocks(page: str) -> list[Block]:
             name = name[1:]
             if name == "a":
                 p.in_link = False
-            if name not in INLINE:
+            if name in WIDGETS or name == "math":
+                p.close((name,))
+            elif name not in INLINE and (name in BREAKS_OUT or name == "foreignobject" or not (drawn and p.foreign())):
                 p.flush()
                 if name == "p":
                     p.close(("p",), SCOPES)
                 else:
                     p.close((name,))
             continue
+        if drawn and name not in FOREIGN and p.foreign():
+            if name in BREAKS_OUT:
+                p.flush()
+                p.close(("svg", "math"))
+            elif name not in _RAW_END or page[end - 1] == "/":  # parts of a drawing or a formula
+                if name == "foreignobject" and page[end - 1] != "/":
+                    p.open(name, frozenset())
+                continue
         if name in _RAW_END:
-            if name not in ("button", "select", "textarea"):
-                p.add(" ")
+            p.add(" ")
             closing = _RAW_END[name].search(page, at)
             at = closing.end() if closing else n
             continue
+        if name in WIDGETS or name == "math":
+            if name not in ("button", "select", "textarea", "math"):
+                p.add(" ")
+            if name not in FOREIGN or page[end - 1] != "/":
+                drawn = drawn or name in FOREIGN
+                p.open(name, _hints(page[m.end() : end]))
+            continue
+        if name in ("param", "source", "track"):
+            continue
         if name in INLINE:
             if name == "a":
                 p.in_link = True
@@ -187,7 +231,7 @@ def blocks(page: str) -> list[Block]:
 
 # --- features -------------------------------------------------------------------------------------------------------
 
-_TAGS = ("article", "main", "nav", "header", "footer", "aside", "form", "section", "ul", "ol", "table", "blockquote", "figure", "dl", "head", "fieldset")
+_TAGS = ("article", "main", "nav", "header", "footer", "aside", "form", "section", "ul", "ol", "table", "blockquote", "figure", "dl", "head", "fieldset", "title", *sorted(WIDGETS))
 _OWN = ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "th", "div", "pre", "dt", "dd", "body", "section", "article", "blockquote", "figcaption", "footer", "address")
 _NAMES = (
     *(f"in:{t}" for t in _TAGS), *(f"own:{t}" for t in _OWN), *(f"hint:{h}" for h in HINTS), "in:article+header", "in:article+aside", "in:article+nav", "in:article+form", "in:article+footer", "hints:against", "hints:none",
@@ -334,7 +378,7 @@ def labelled_page(rng: np.random.Generator) -> tuple[str, list[str]]:
     links = lambda a, b: "".join(f'<li><a href="/{word()}">{words(1, 4)}</a></li>' for _ in range(rng.integers(a, b)))
 
     def junk() -> str:
-        kind = rng.integers(10)
+        kind = rng.integers(11)
         hint = lambda *x: f' {pick("class", "id")}="{pick("", word() + " ")}{pick(*x)}"'
         text = pick(short, sentence, lambda: sentence() + " " + sentence())
         if kind < 2:
@@ -351,6 +395,8 @@ def labelled_page(rng: np.random.Generator) -> tuple[str, list[str]]:
             return f"<div{hint('share', 'social', 'follow')}><a href='#'>{word()}</a> <a href='#'>{word()}</a></div>"
         if kind == 7:
             return f"<div{hint('related', 'recommended', 'more', 'trending')}><h3>{short()}</h3><ul>{links(2, 6)}</ul></div>"
+        if kind == 10:
+            return pick(f"<button>{words(1, 4)}</button>", f"<select><option>{word()}<option>{words(1, 3)}</select>", f"<svg><title>{words(1, 3)}</title><path d='m'/></svg>", f"<noscript>{sentence()}</noscript>", f"<textarea>{short()}</textarea>", f"<iframe src='/x'>{short()}</iframe>", f"<canvas>{short()}</canvas>", f"<template><p>{text()}</p></template>")
         if kind == 8:
             return f"<div{hint('sidebar', 'side', 'widget')}><p>{text()}</p></div>"
         return f"<nav{pick('', hint('breadcrumb', 'toc'))}><ul>{links(2, 5)}</ul></nav>"
@@ -371,6 +417,8 @@ def labelled_page(rng: np.random.Generator) -> tuple[str, list[str]]:
             link, rest = word(), words(3, 8)
             said.append(f"{link} {rest}")
             return f'<p><a href="/x">{link}</a> {rest}</p>'
+        if kind == 6 and chance(0.5):
+            return f"<object data='x'><p>{main(body)}</p></object>"
         if kind == 5 and chance(0.4):
             return f"<table><tr><td>{main(short())}</td><td>{main(short())}</td></tr></table>"
         return f"<p>{main(body)}</p>"

@@ -53,3 +53,22 @@ def test_frames(spark):
     n = len(H.main_text(PAGE, H.trained()))
     assert out == [(0, "", 0), (1, "Title", n), (1, "Title", n), (2, "", 0)]
     assert H.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+LONG = [f"Paragraph {w} goes on for some words, and on, and ends here." for w in ("one", "two", "three")]
+
+
+@pytest.mark.parametrize("between", ['<svg class="i"/>', '<svg class="i"><path d="m"/>', '<svg><g><path d="m"></g></svg>', "<math/>", "<canvas>", "<object data='x'>", "<iframe src='x'>", "<button></button>", "<select></select>", "<button>", "<select>"])
+def test_nothing_after_an_element_is_lost(between):
+    page = f"<body><nav><ul><li><a href='/'>Home</a></ul></nav><article><h1>A title of it</h1><p>{LONG[0]}</p>{between}<p>{LONG[1]}</p><p>{LONG[2]}</p></article><footer>&copy; x.com</footer></body>"
+    texts = [b.text for b in H.blocks(page)]
+    assert [t for t in texts if t in LONG] == LONG and texts[-1] == "© x.com"
+    last = H.blocks(page)[-1]
+    assert last.path == {"body", "footer"}
+    if between not in ("<button>", "<select>", "<canvas>", "<iframe src='x'>"):  # what follows those is inside of them
+        assert H.main_text(page, H.trained()).split("\n")[-3:] == LONG
+
+
+def test_elements_in_a_line():
+    found = H.blocks("<p>An <svg><path d='m'/></svg> icon, <math><mi>x</mi><mo>=</mo><mn>1</mn></math> and <button>Go</button> text</p><object><p>Instead</p></object>")
+    assert [(b.text, "button" in b.path, "object" in b.path) for b in found] == [("An icon, x=1 and", False, False), ("Go", True, False), ("text", False, False), ("Instead", False, True)]
