@@ -290,13 +290,15 @@ def _quantize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @plain("g1_graph_search")
 def _graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ann.graph_search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), _V, 10, 64, vector="embedding", key="vec_id")
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return ann.graph_block_search(ann.graphs(rows, 64, "embedding", "vec_id"), rows.where("vec_id % 100 = 0"), 10, 64, vector="embedding", key="vec_id")
 
 
 @plain("g4_quantized_search")
 def _codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    codes, model = ann.quantized(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 64, "embedding", "vec_id")
-    return ann.quantized_search(codes, model, _V, 10, key="vec_id")
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    codes, model = ann.quantized(rows, 64, "embedding", "vec_id")
+    return ann.quantized_block_search(codes, model, rows.where("vec_id % 100 = 0"), 10, 64, vector="embedding", key="vec_id")
 
 
 # --- order and pages (H), aggregation (I), language (J), changes (K) ------------------------------------------------

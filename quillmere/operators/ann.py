@@ -5,6 +5,9 @@ correction factors. A query estimates its distance to every code (in Arrow batch
 `factor * k` of each partition, and scores these exactly. Graph: each partition of the table builds a proximity graph of its
 own vectors; a query walks every graph and merges what they find. What reaches one place is k rows for each partition.
 
+Blocks of queries: graphs are built and written once, over so many partitions that none has many more than GRAPH_ROWS rows;
+queries go to the tasks QUERIES at a time, and every piece of the table answers with k rows for each.
+
 Both are approximations without a promised recall; the exact search is the contract.
 """
 
@@ -15,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmere.functions import vectors
@@ -181,3 +184,128 @@ def graph_search(frame: DataFrame, q: list[float], k: int, dims: int, partitions
     if allowed is not None:  # after the walk, as a filter on the graph's answers: fewer than k may be left
         found = found.where("_ok")
     return exact(found, q, k, "cosine", "v", key)
+
+
+# --- blocks of queries ----------------------------------------------------------------------------------------------
+
+#: Rows of a graph, queries that are sent to the tasks at once, and rows whose estimates are ranked at once.
+GRAPH_ROWS, QUERIES, RANKED = 2048, 8192, 2048
+_BLOCK = 256
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
+
+
+def _blocks(queries: DataFrame, dims: int, vector: str, key: str) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """Keys and vectors of all queries, so many at a time as the driver may hold."""
+    wanted = queries.where(F.col(vector).isNotNull()).select(F.col(key).alias("query"), F.col(vector).cast("array<float>").alias("q"))
+    parts = -(-wanted.count() // (QUERIES // 2))
+    if not parts:
+        return
+    wanted = materialise(wanted.withColumn("_part", F.pmod(F.xxhash64("query"), F.lit(parts))), "queries")
+    for i in range(parts):
+        table = wanted.where(F.col("_part") == i).toArrow().combine_chunks()
+        if len(table):
+            yield table.column("query").combine_chunks(), _matrix(table.column("q").combine_chunks(), dims)
+
+
+def _merged(found: list[DataFrame], k: int, key: str) -> DataFrame:
+    """The k best of each query."""
+    whole = found[0]
+    for more in found[1:]:
+        whole = whole.unionByName(more)
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), key))
+    return whole.withColumn("_rank", rank).where(F.col("_rank") <= k).drop("_rank")
+
+
+def graphs(frame: DataFrame, dims: int, vector: str = "v", key: str = "_id") -> DataFrame:
+    """A graph for each of so many partitions as the rows need, written: a row for each, with keys, vectors and edges."""
+    rows = frame.where(F.col(vector).isNotNull()).select(key, F.col(vector).cast("array<float>").alias("v"))
+    parts = max(1, -(-rows.count() // GRAPH_ROWS))
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = [b for b in batches if b.num_rows]
+        if whole:
+            table = pa.Table.from_batches(whole).combine_chunks()
+            x = _matrix(table.column(1).combine_chunks(), dims)
+            keys = table.column(0).combine_chunks()
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys), pa.array([x.astype("<f4").tobytes()]), pa.array([build_graph(x).astype("<i4").tobytes()])], names=["keys", "x", "edges"])
+
+    kind = frame.schema[key].dataType.simpleString()
+    return materialise(rows.repartition(parts, key).mapInArrow(build, f"keys array<{kind}>, x binary, edges binary"), "graphs")
+
+
+def graph_block_search(built: DataFrame, queries: DataFrame, k: int, dims: int, beam: int = 64, vector: str = "v", key: str = "_id") -> DataFrame:
+    """query, key and cosine score of what walks of all graphs find nearest to each query."""
+    kind = built.schema["keys"].dataType.elementType.simpleString()
+    asked = queries.schema[key].dataType.simpleString()
+    found = []
+    for names, q in _blocks(queries, dims, vector, key):
+        sent = built.sparkSession.sparkContext.broadcast((names, _unit(q)))
+
+        def walk(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            names, q = sent.value
+            for b in batches:
+                for i in range(b.num_rows):
+                    keys = b.column(0)[i].values
+                    unit = _unit(np.frombuffer(b.column(1)[i].as_py(), "<f4").astype(np.float64).reshape(-1, dims))
+                    edges = np.frombuffer(b.column(2)[i].as_py(), "<i4").reshape(len(unit), -1)
+                    for at in range(0, len(q), _BLOCK):
+                        near = [_walk(unit, edges, own, max(beam, k), 0)[:k] for own in q[at : at + _BLOCK]]
+                        own = np.repeat(np.arange(at, at + len(near)), [len(x) for x in near])
+                        rows = np.array([j for x in near for _, j in x], np.int64)
+                        score = np.clip([1 - d for x in near for d, _ in x], -1.0, 1.0)
+                        yield pa.RecordBatch.from_arrays([names.take(pa.array(own)), keys.take(pa.array(rows)), pa.array(score)], names=["query", key, "score"])
+
+        found.append(built.mapInArrow(walk, f"query {asked}, `{key}` {kind}, score double"))
+    if not found:
+        found = [built.sparkSession.createDataFrame([], f"query {asked}, `{key}` {kind}, score double")]
+    return _merged(found, k, key)
+
+
+def quantized_block_search(codes: DataFrame, model: Quantizer, queries: DataFrame, k: int, dims: int, factor: int = 8, vector: str = "v", key: str = "_id") -> DataFrame:
+    """query, key and cosine score of the k nearest by exact score among the `factor * k` best estimates of cosine of every RANKED rows, and
+    all those whose bound (eps0 = 1.9) does not keep them from the k nearest."""
+    kind, asked = codes.schema[key].dataType.simpleString(), queries.schema[key].dataType.simpleString()
+    found = []
+    for names, q in _blocks(queries, dims, vector, key):
+        sent = codes.sparkSession.sparkContext.broadcast((names, q))
+
+        def best(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            names, q = sent.value
+            turned, unit_q = (q - model.centre) @ model.turn.T, _unit(q)
+            for whole in batches:
+                for first in range(0, whole.num_rows, RANKED):
+                    b = whole.slice(first, RANKED)
+                    signs = np.unpackbits(np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(b.num_rows, -1), axis=1)[:, :dims] * 2.0 - 1
+                    norm, agreement = b.column(3).to_numpy(), b.column(4).to_numpy()
+                    x = _matrix(b.column(1), dims)
+                    unit, own_length = _unit(x), np.linalg.norm(x, axis=1)
+                    slack = 1.9 * np.sqrt(np.maximum(0, 1 - agreement**2)) / np.maximum(agreement, 1e-30) / np.sqrt(max(1, dims - 1))
+                    some = min(factor * k, b.num_rows)
+                    for at in range(0, len(q), _BLOCK):
+                        y = turned[at : at + _BLOCK]
+                        length, far = np.linalg.norm(y, axis=1)[:, None], np.linalg.norm(q[at : at + _BLOCK], axis=1)[:, None]
+                        dot = y @ signs.T / np.maximum(length, 1e-30) / np.sqrt(dims) / np.maximum(agreement, 1e-30)
+                        both = np.maximum(2 * own_length * far, 1e-30)
+                        cosine = (own_length**2 + far**2 - norm**2 - length**2 + 2 * norm * length * dot) / both
+                        bound = cosine + 2 * norm * length * slack / both
+                        near = np.argpartition(-cosine, some - 1, axis=1)[:, :some]
+                        least = np.sort(np.einsum("qcd,qd->qc", unit[near], unit_q[at : at + _BLOCK]), axis=1)[:, -min(k, some)]
+                        rows, own, scores = [], [], []
+                        for i in range(len(y)):
+                            open_ = bound[i] >= least[i]
+                            open_[near[i]] = True
+                            pool = np.flatnonzero(open_)
+                            score = unit[pool] @ unit_q[at + i]
+                            top = np.argsort(-score, kind="stable")[:k]
+                            rows.append(pool[top])
+                            own.append(np.full(len(top), at + i))
+                            scores.append(score[top])
+                        yield pa.RecordBatch.from_arrays([names.take(pa.array(np.concatenate(own))), b.column(0).take(pa.array(np.concatenate(rows))), pa.array(np.clip(np.concatenate(scores), -1.0, 1.0))], names=["query", key, "score"])
+
+        found.append(codes.select(key, "v", "code", "norm", "agreement").mapInArrow(best, f"query {asked}, `{key}` {kind}, score double"))
+    if not found:
+        found = [codes.sparkSession.createDataFrame([], f"query {asked}, `{key}` {kind}, score double")]
+    return _merged(found, k, key)

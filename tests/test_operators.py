@@ -1,10 +1,11 @@
 import json
+import os
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillmere import cli
+from quillmere import catalog, cli
 from quillmere.functions import vectors
 from quillmere.operators import ann
 from quillmere.operators.ranks import ranged, with_rank
@@ -87,3 +88,26 @@ def test_facets_streams_and_command_line(spark, tmp_path, capsys):
     assert json.loads(capsys.readouterr().out)["execution"]["total"] == 2
     assert cli.main(["search", str(tmp_path / "s"), "n:>="]) == 1
     assert cli.main(["stats", str(tmp_path / "s")]) == 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="the supplied tables are not here")
+@pytest.mark.parametrize("name", ["g1_graph_search", "g4_quantized_search"])
+def test_registered_approximate_searches_recall(spark, name, monkeypatch):
+    monkeypatch.setattr(ann, "GRAPH_ROWS", 1000)  # several graphs, and several blocks of queries
+    monkeypatch.setattr(ann, "QUERIES", 16)
+    path = "/root/testdata/sf0.1"
+    rows = spark.read.parquet(f"{path}/embeddings.parquet").select("vec_id", "embedding").toArrow()
+    ids, x = rows.column(0).to_numpy(), np.array(rows.column(1).to_pylist(), np.float64)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    got = {}
+    for r in catalog.QUERIES[name](spark, path).collect():
+        got.setdefault(r["query"], {})[r["vec_id"]] = r["score"]
+    asked = np.flatnonzero(ids % 100 == 0)
+    assert set(got) == set(ids[asked].tolist())
+    hits = 0
+    for i in asked:
+        score, own = unit @ unit[i], got[int(ids[i])]
+        assert len(own) == 10 and all(abs(score[ids == j][0] - s) < 1e-6 for j, s in own.items())
+        hits += len(set(ids[np.lexsort((ids, -score))[:10]].tolist()) & set(own))
+    print(name, hits, 10 * len(asked))
+    assert hits >= 0.9 * 10 * len(asked)
