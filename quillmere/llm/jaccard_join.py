@@ -16,9 +16,10 @@ Work on copies and near copies must not grow with the square of their number:
 - A list's members are first compared with one of them alone, the most central (the one with the most frequent shingles);
   what links is one component. Lists of shingles that are known to be frequent are split by member, and each part has its
   own first member, which are compared among each other. A list whose members are one component by then is done.
-- In longer ones of the other lists, members are compared by blocks with their whole sets, and a block yields a spanning
-  forest: a row for each component that is joined, not for each link. In short ones, pairs of members from different
-  components are enumerated.
+- In longer ones of the other lists, members are compared by blocks with their whole sets, and two blocks yield a spanning
+  forest: a row for each component that is joined, not for each link. A block holds sets of about one size, a bounded number
+  of shingles and, where a component has many members, these alone; only blocks whose sizes may link and which do not lie in
+  one component meet. In short lists, pairs of members from different components are enumerated.
 
 Candidates are verified with their whole sets. No list, group or number of partners is capped. What the driver learns is a
 histogram and a table of at most MOST_FREQUENT frequent shingles, by the 32-bit halves of their hashes; it only orders
@@ -51,8 +52,9 @@ LEAST_FREQUENT = 8
 MOST_FREQUENT = 1_000_000
 #: Members of a part of a frequent shingle's list.
 PART = 4096
-#: Lists of more members than this are settled by whole sets, in blocks of two parts of up to about BLOCK members.
-LONG, BLOCK = 64, 512
+#: Lists of more members than this are settled by whole sets, in blocks of about so many members and shingles at most (a
+#: larger set is a block of its own).
+LONG, BLOCK, BLOCK_SHINGLES = 64, 512, 1 << 18
 #: Ids of candidates are broadcast up to this number, else joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -252,7 +254,8 @@ def _post(docs: DataFrame, k: int, threshold: int, limit: int, sent) -> DataFram
 
 _LIST = "kind int, key long, part int, cls long, n int, pos int, central int, light boolean, other long, other_n int"
 _LIST_KIND = pa.schema([("kind", pa.int32()), *_POST_KIND, ("other", pa.int64()), ("other_n", pa.int32())])
-_BLOCK = 1 << 18
+#: Rows of a list that are held at a time.
+HELD_ROWS = 1 << 18
 
 
 def _fits(n: np.ndarray, pos: np.ndarray, m: np.ndarray, at: np.ndarray, threshold: int) -> np.ndarray:
@@ -261,20 +264,25 @@ def _fits(n: np.ndarray, pos: np.ndarray, m: np.ndarray, at: np.ndarray, thresho
     return ((100 + threshold) * (rest + np.minimum(pos, at)) >= threshold * (n + m)) & (100 * np.minimum(n, m) >= threshold * np.maximum(n, m))
 
 
-def _lists(posted: DataFrame, threshold: int) -> DataFrame:
+def _lists(posted: DataFrame, threshold: int, held_rows: int) -> DataFrame:
     """Reads lists off postings that are sorted by key, part and class. Kind 0: members of lists of two at least; kind 1:
-    (cls, other) for a member and the list's most central one; kind 2: the most central of each part of a split list."""
+    (cls, other) for a member and the list's most central one; kind 2: the most central of each part of a split list. A part
+    of more than held_rows is read in pieces, each like a part of its own."""
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: dict[str, np.ndarray] | None = None
+        carried: tuple[int, int] | None = None  # key and part that an earlier piece ended in
         names = _POST_KIND.names
 
         def columns(batch):
             return {c: batch.column(i).to_numpy(zero_copy_only=False) for i, c in enumerate(names)}
 
-        def emit(x: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        def emit(x: dict[str, np.ndarray], cut: bool = False) -> Iterator[pa.RecordBatch]:
+            nonlocal carried
             if not len(x["key"]):
                 return
+            ends = (x["key"][-1], x["part"][-1])
+            pieces = [p for p in (carried, ends if cut else None) if p is not None]
             new = np.ones(len(x["key"]), bool)
             new[1:] = (x["key"][1:] != x["key"][:-1]) | (x["part"][1:] != x["part"][:-1])
             again = ~new
@@ -299,10 +307,14 @@ def _lists(posted: DataFrame, threshold: int) -> DataFrame:
                 far = [none.cast(pa.int64()), none.cast(pa.int32())] if other is None else [pa.array(x["cls"][other]), pa.array(x["n"][other])]
                 return pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), *(pa.array(x[c][at]) for c in names), *far], schema=_LIST_KIND)
 
-            kept = np.flatnonzero(several | (x["part"] > 0))  # a part may have one member; the others are in other parts
+            split = x["part"] > 0
+            for key, part in pieces:
+                split |= (x["key"] == key) & (x["part"] == part)
+            carried = ends if cut else None
+            kept = np.flatnonzero(several | split)  # a part may have one member; the others are in other parts
             if len(kept):
                 yield rows(0, kept)
-            heads = head[x["part"][head] > 0]
+            heads = head[split[head]]
             if len(heads):
                 yield rows(2, heads)
             pairs = np.flatnonzero(close)
@@ -313,12 +325,15 @@ def _lists(posted: DataFrame, threshold: int) -> DataFrame:
             x = columns(batch)
             if rest is not None:
                 x = {c: np.concatenate([rest[c], x[c]]) for c in names}
+            if not len(x["key"]):
+                continue
             last = np.flatnonzero((x["key"] != x["key"][-1]) | (x["part"] != x["part"][-1]))
             cut = int(last[-1]) + 1 if len(last) else 0
-            if len(x["key"]) - cut > _BLOCK:  # a list longer than a block: its blocks are compared like parts
+            whole = len(x["key"]) - cut > held_rows
+            if whole:
                 cut = len(x["key"])
-            yield from emit({c: v[:cut] for c, v in x.items()})
-            rest = {c: v[cut:] for c, v in x.items()}
+            yield from emit({c: v[:cut] for c, v in x.items()}, whole)
+            rest = {c: v[cut:].copy() for c, v in x.items()}
         if rest is not None:
             yield from emit(rest)
 
@@ -363,27 +378,42 @@ def forest(names: np.ndarray, tokens: list[np.ndarray], component: np.ndarray, s
     both_sides: only links between the two sides are wanted.
     """
     n = np.array([len(t) for t in tokens])
-    flat, owner = np.concatenate(tokens), np.repeat(np.arange(len(tokens)), n)
-    _, column, times = np.unique(flat, return_inverse=True, return_counts=True)
-    shared = times[column] > 1
-    _, column = np.unique(column[shared], return_inverse=True)
-    owner = owner[shared]
+    left_rows = np.flatnonzero(~side) if both_sides else np.arange(len(n))
+    right_rows = np.flatnonzero(side) if both_sides else left_rows
+    flat, owner = np.concatenate(tokens), np.repeat(np.arange(len(tokens), dtype=np.int32), n)
+    order = np.argsort(flat)
+    flat, owner = flat[order], owner[order]
+    del order
+    new = np.ones(len(flat), bool)
+    new[1:] = flat[1:] != flat[:-1]
+    del flat
+    start = np.flatnonzero(new)
+    shared = np.repeat(np.diff(np.append(start, len(new))) > 1, np.diff(np.append(start, len(new))))
+    column, owner = (np.cumsum(new, dtype=np.int32)[shared], owner[shared])
+    del new, shared
+    if len(column):
+        column = np.cumsum(np.diff(column, prepend=column[0]) > 0, dtype=np.int32)
     exact = np.float32 if 200 * n.max() < 1 << 24 else np.float64
-    common = np.zeros((len(tokens), len(tokens)), exact)
-    order = np.argsort(column, kind="stable")
-    column, owner = column[order], owner[order]
-    for at in range(0, int(column[-1]) + 1 if len(column) else 0, 2048):
-        part = slice(np.searchsorted(column, at), np.searchsorted(column, at + 2048))
-        own = np.zeros((len(tokens), 2048), exact)
-        own[owner[part], column[part] - at] = 1
-        common += own @ own.T
+    common = np.zeros((len(left_rows), len(right_rows)), exact)
+    place = np.empty(len(n), np.int64)
+    place[left_rows] = np.arange(len(left_rows))
+    if both_sides:
+        place[right_rows] = np.arange(len(right_rows))
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, 1024):
+        part = slice(np.searchsorted(column, at), np.searchsorted(column, at + 1024))
+        own, col = owner[part], column[part] - at
+        ones = []
+        for rows, mine in ((left_rows, ~side[own] if both_sides else np.ones(len(own), bool)), *(((right_rows, side[own]),) if both_sides else ())):
+            hot = np.zeros((len(rows), 1024), exact)
+            hot[place[own[mine]], col[mine]] = 1
+            ones.append(hot)
+        common += ones[0] @ ones[-1].T
     common *= 100 + threshold  # in place: the matrices are what this takes of memory
     least = (threshold * n).astype(exact)
-    common -= least[:, None]
-    linked = common >= least[None, :]
+    common -= least[left_rows, None]
+    linked = common >= least[None, right_rows]
     del common
-    if both_sides:
-        linked &= side[:, None] != side[None, :]
+    linked &= component[left_rows, None] != component[None, right_rows]
     root = {c: c for c in component.tolist()}
 
     def top(c: int) -> int:
@@ -392,35 +422,51 @@ def forest(names: np.ndarray, tokens: list[np.ndarray], component: np.ndarray, s
         return c
 
     out = []
-    left = len(root) - 1
     comp = component.tolist()
-    for i in range(len(tokens)):
-        if not left:
-            break
-        for j in np.flatnonzero(linked[i, i + 1 :]) + i + 1:
-            a, b = top(comp[i]), top(comp[j])
-            if a != b:
-                root[a] = b
-                left -= 1
-                out.append((int(names[i]), int(names[j])))
+    for i, j in zip(*np.nonzero(linked), strict=True):
+        i, j = int(left_rows[i]), int(right_rows[j])
+        a, b = top(comp[i]), top(comp[j])
+        if a != b:
+            root[a] = b
+            out.append((int(names[i]), int(names[j])))
     return out
 
 
 def _forests(members: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """Links (a, b) among the members (key, cls, component, size) of long lists, by blocks of two parts of a list."""
+    """Links (a, b) among the members (key, cls, n, component) of long lists, by pairs of blocks of a list.
+
+    Sets of one band of sizes link only with those of the same band and the two next to it. A component with more members in
+    a list's band than a block has blocks of its own, so that a list of one large component and a few other members takes
+    work in proportion to its length. Blocks are dealt by hash; that a pair of blocks is made costs one narrow row.
+    """
 
     def join(pdf):
         import pandas as pd
 
-        side = pdf["part"].to_numpy()
-        links = forest(pdf["cls"].to_numpy(), [np.asarray(t) for t in pdf["tokens"]], pdf["component"].to_numpy(), side, bool(pdf["i"].iloc[0] != pdf["j"].iloc[0]), threshold)
+        side = pdf["side"].to_numpy().astype(bool)
+        links = forest(pdf["cls"].to_numpy(), [np.asarray(t) for t in pdf["tokens"]], pdf["component"].to_numpy(), side, bool(side.any()), threshold)
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
-    parts = F.ceil(F.col("size") / BLOCK).cast("int")
-    cut = members.withColumn("part", F.pmod(F.xxhash64("cls"), parts).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), parts - 1))
-    cut = cut.select("key", "cls", "component", "part", other.alias("other"))
-    cut = cut.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "cls", "component", "part")
+    width = math.log(100 / threshold) * 1.000001  # rounding must not put sets that may link two bands apart
+    band = F.floor(F.log(F.col("n").cast("double")) / width).cast("int")
+    rows = members.select("key", "cls", "n", "component", band.alias("band"))
+    large = rows.groupBy("key", "band", "component").agg(F.count("*").alias("of")).where(F.col("of") > BLOCK).select("key", "band", "component", F.lit(True).alias("large"))
+    rows = rows.join(large, ["key", "band", "component"], "left").withColumn("owner", F.when(F.col("large"), F.col("component")))
+    group = ["key", "band", "owner"]
+    parts = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    sized = rows.groupBy(*group).agg(parts.alias("parts"))
+    same = (F.col("r.key") == F.col("s.key")) & (F.col("r.band") == F.col("s.band")) & F.col("r.owner").eqNullSafe(F.col("s.owner"))
+    rows = rows.alias("r").join(sized.alias("s"), same).select("r.*", F.pmod(F.xxhash64(F.col("r.cls"), F.lit(7)), F.col("s.parts")).cast("int").alias("part"))
+    rows = materialise(rows, "block-members")
+    blocks = rows.groupBy(*group, "part").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    blocks = blocks.withColumn("id", F.xxhash64(*group, "part"))
+    far = blocks.select("key", F.col("id").alias("j"), F.col("band").alias("band_j"), F.col("low").alias("low_j"), F.col("high").alias("high_j"))
+    near = blocks.select("key", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band_j"), F.col("band").alias("band_i"), F.col("id").alias("i"), "low", "high")
+    met = near.join(far, ["key", "band_j"]).where((F.col("band_i") < F.col("band_j")) | (F.col("i") <= F.col("j")))
+    met = met.where(~((F.col("low") == F.col("high")) & (F.col("low_j") == F.col("high_j")) & (F.col("low") == F.col("low_j"))))
+    met = materialise(met.select("key", "i", "j"), "block-pairs")
+    sides = met.select("key", "i", "j", F.col("i").alias("id"), F.lit(False).alias("side")).unionByName(met.where("i <> j").select("key", "i", "j", F.col("j").alias("id"), F.lit(True).alias("side")))
+    cut = rows.withColumn("id", F.xxhash64(*group, "part")).select("key", "id", "cls", "component").join(sides, ["key", "id"]).select("key", "i", "j", "side", "cls", "component")
     return cut.join(sets, "cls").groupBy("key", "i", "j").applyInPandas(join, "a long, b long").distinct()
 
 
@@ -451,7 +497,7 @@ def _classes(docs: DataFrame, doc_id: str, text: str, k: int, threshold: int) ->
     sent = spark.sparkContext.broadcast((marks, counts))
 
     posted = _post(docs, k, threshold, limit, sent).repartition("key", "part").sortWithinPartitions("key", "part", "cls")
-    listed = materialise(_lists(posted, threshold), "lists")
+    listed = materialise(_lists(posted, threshold, HELD_ROWS), "lists")
     heads = listed.where("kind = 2")
     best = heads.groupBy("key").agg(F.max(F.struct("central", "cls", "n")).alias("best"))
     far = heads.join(best, "key").where("cls <> best.cls").select(F.least("cls", "best.cls").alias("a"), F.greatest("cls", "best.cls").alias("b"), "light", F.least("n", "best.n").alias("n"))
@@ -469,7 +515,7 @@ def _classes(docs: DataFrame, doc_id: str, text: str, k: int, threshold: int) ->
     mixed = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low <> high").select("key", "size")
     members = materialise(members.join(mixed, "key"), "mixed-members")
     # long lists: all that their members' whole sets link; pairs that meet in one are settled by that
-    long = members.where(F.col("size") > LONG).select("key", "cls", "component", "size")
+    long = members.where(F.col("size") > LONG).select("key", "cls", "n", "component")
     joined = materialise(_forests(long, _sets(long.select("cls"), docs, owners, k), threshold), "long-links")
     # short lists: pairs that share enough of them
     short = members.where(F.col("size") <= LONG)

@@ -57,13 +57,25 @@ def corpus(seed):
 @pytest.mark.parametrize("k,threshold,small", [(4, 85, False), (4, 85, True), (5, 80, True)])
 def test_components_agree_with_brute_force(spark, monkeypatch, k, threshold, small):
     if small:  # so that each way of the operator is taken
-        for name, value in (("LONG", 4), ("BLOCK", 8), ("PART", 10), ("LEAST_FREQUENT", 2), ("BROADCAST_ROWS", 0)):
+        for name, value in (("LONG", 4), ("BLOCK", 8), ("BLOCK_SHINGLES", 500), ("PART", 10), ("LEAST_FREQUENT", 2), ("BROADCAST_ROWS", 0), ("HELD_ROWS", 3)):
             monkeypatch.setattr(J, name, value)
     rows = corpus(17)
     got = J.classes(docs(spark, rows), k=k, threshold=threshold).collect()
     assert sorted(map(tuple, got), key=repr) == brute(rows, k, threshold)
 
 
+@pytest.mark.parametrize("held", [1, 2, 3])
+def test_a_list_read_in_pieces_keeps_its_last_member(spark, monkeypatch, held):
+    # seven sets in one list that is in one part; the pieces end at each place
+    for name, value in (("HELD_ROWS", held), ("LONG", 2), ("LEAST_FREQUENT", 10**6)):
+        monkeypatch.setattr(J, name, value)
+    rng = random.Random(held)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*base[: 40 + 3 * i], *(f"x{rng.randrange(10**6)}" for _ in range(2))]), None) for i in range(7)]
+    got = J.classes(docs(spark, rows)).collect()
+    assert sorted(map(tuple, got), key=repr) == brute(rows, 4, 85)
+
+
 def test_empty_table(spark):
     assert J.classes(docs(spark, [])).collect() == []
 
