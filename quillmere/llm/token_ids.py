@@ -10,8 +10,8 @@ index of block starts lets a reader decode any stretch of ids alone. Layout, lit
     documents    doc_id i64 each, null flag u8 each, ids u32 each
     footer       JSON with counts and places, then its length u32, then MAGIC
 
-write_tokens() deals documents out by ranges of doc_id, so the files in order of their number hold ascending ids; each task
-streams its range through the tokenizer into a file of its own. The table of files is committed by Spark, and a reader opens
+write_tokens() deals documents out by ranges of doc_id, so the files in order of their number and part hold ascending ids;
+each task streams its range through the tokenizer into files of its own, the next one from FILE_TOKENS ids on. The table of files is committed by Spark, and a reader opens
 only files in that table: a task that ran twice leaves an unlisted file at worst.
 
 Defined cases: a null or empty text is encoded as the end id alone; null doc_ids come first; rows with the same doc_id are
@@ -23,7 +23,6 @@ from __future__ import annotations
 import functools
 import json
 import os
-import re
 import struct
 import uuid
 import zlib
@@ -31,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,7 +40,6 @@ MAGIC = b"QMTOKEN1"
 BLOCK = 256
 PERCENTILE = 0.9
 _LANES = 64  # values that are packed together, into `width` words of 64 bits
-_WIDE = re.compile(r"\s \s").search
 
 # --- blocks ---------------------------------------------------------------------------------------------------------
 
@@ -201,16 +200,9 @@ class Reader:
 # --- encoding -------------------------------------------------------------------------------------------------------
 
 
-class _Known(dict):
-    """Stretches by number; new ones get the next number and are listed."""
-
-    def __init__(self):
-        self.new: list[str] = []
-
-    def __missing__(self, stretch: str) -> int:
-        self.new.append(stretch)
-        self[stretch] = n = len(self)
-        return n
+#: White space by Unicode; a space between two of these may not be cut at.
+_SPACE_CLASS = "[\\t-\\r\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+_WIDE = f"{_SPACE_CLASS} {_SPACE_CLASS}"
 
 
 class Encoder:
@@ -218,22 +210,23 @@ class Encoder:
 
     A byte-level vocabulary cuts a text into pieces and encodes them one by one. There is always a cut before a space unless
     white space stands on both sides of it, so a text without such spaces is the sequence of its stretches from one space to
-    the next: each new stretch goes through the tokenizer once, and ids are put together by number. Other texts go through
-    it whole. The first MOST stretches are remembered, later ones only for the group of texts that they stand in.
+    the next: each new stretch goes through the tokenizer once, and ids are put together by number. Other texts, and those
+    that hold an added token of the vocabulary, go through it whole. Up to MOST stretches are remembered, as one string array
+    that Arrow looks up; later ones only for the group of texts that they stand in.
     """
 
-    MOST = 250_000
+    MOST = 500_000
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         # in this alphabet a character stands for a byte
         self.n_bytes = np.array([len(self.whole.id_to_token(i) or "") for i in range(self.whole.get_vocab_size())], np.int64)
-        self.known, self.ids, self.n_ids = _Known(), np.zeros(1 << 20, np.uint32), 0
-        self.starts, self.lengths, self.n = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64), 0
+        self.known, self.ids = pa.array([], pa.string()), np.zeros(0, np.uint32)
+        self.ends = np.zeros(1, np.int64)  # of the ids of each known stretch, after a 0
 
     @staticmethod
     @functools.cache
@@ -241,6 +234,9 @@ class Encoder:
         """One for each worker process, for all its tasks; what it remembers does not change results."""
         return Encoder(path)
 
+    def _each(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _spelled(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the stretches one after the other, and the number of ids of each.
 
@@ -251,65 +247,89 @@ class Encoder:
         lengths, parts = np.zeros(len(new), np.int64), []
         plain = [i for i, x in enumerate(new) if x and not x[0].isspace() and not x[-1].isspace()]
         if plain:
-            text = "".join([" " + new[i] for i in plain])
-            ids = np.array(self.whole.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            ids = np.array(self._each(["".join([" " + new[i] for i in plain])])[0], np.uint32)
             stops = np.searchsorted(np.cumsum(self.n_bytes[ids]), np.cumsum([1 + len(new[i].encode()) for i in plain]), "left") + 1
             lengths[plain] = np.diff(stops, prepend=0)
+            if len(plain) == len(new):
+                return ids, lengths
             parts = np.split(ids, stops[:-1])
-        each: list[np.ndarray] = [parts[0]] * len(new) if parts else [np.zeros(0, np.uint32)] * len(new)
+        each: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(new)
         for i, part in zip(plain, parts, strict=True):
             each[i] = part
-        for i in set(range(len(new))).difference(plain):
-            each[i] = np.array(self.whole.encode(new[i][1:] if new[i][:1] == " " else " " + new[i], add_special_tokens=False).ids, np.uint32)
-            lengths[i] = len(each[i])
+        others = sorted(set(range(len(new))).difference(plain))
+        for i, ids in zip(others, self._each([new[i][1:] if new[i][:1] == " " else " " + new[i] for i in others]), strict=True):
+            each[i] = np.array(ids, np.uint32)
+            lengths[i] = len(ids)
         return np.concatenate(each), lengths
 
-    def _learn(self, new: list[str]) -> None:
-        for at in range(0, len(new), 1024):
-            flat, lengths = self._spelled(new[at : at + 1024])
-            while self.n_ids + len(flat) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            while self.n + len(lengths) > len(self.starts):
-                self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
-            self.ids[self.n_ids : self.n_ids + len(flat)] = flat
-            self.starts[self.n : self.n + len(lengths)] = self.n_ids + np.cumsum(lengths) - lengths
-            self.lengths[self.n : self.n + len(lengths)] = lengths
-            self.n_ids, self.n = self.n_ids + len(flat), self.n + len(lengths)
-
-    def encode(self, texts: list[str], end: int) -> list[np.ndarray]:
-        """Ids of each text, with the end id."""
-        number = self.known.__getitem__
-        cut: list[np.ndarray | None] = []
-        for t in texts:
-            if _WIDE(t):
-                cut.append(None)
-                continue
-            parts = t.split(" ")
-            parts[0] = " " + parts[0]
-            cut.append(np.fromiter(map(number, parts), np.int64, len(parts)))
-        new, self.known.new, before = self.known.new, [], (self.n, self.n_ids)
-        if new:
-            self._learn(new)
-        out = []
-        for text, parts in zip(texts, cut, strict=True):
-            if parts is None:
-                ids = np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
-            else:
-                lengths = self.lengths[parts]
-                ends = np.cumsum(lengths)
-                ids = self.ids[np.repeat(self.starts[parts] - ends + lengths, lengths) + np.arange(int(ends[-1]))]
-            out.append(np.append(ids, np.uint32(end)))
-        if self.n > self.MOST:
-            for stretch in new:
-                del self.known[stretch]
-            self.n, self.n_ids = before
+    def _learned(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        parts = [self._spelled(new[at : at + 1024]) for at in range(0, len(new), 1024)]
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+    def encode(self, texts: pa.Array, end: int) -> list[np.ndarray]:
+        """Ids of each text (a string array without nulls), with the end id."""
+        odd = pc.match_substring_regex(texts, _WIDE)
+        for token in self.added:
+            odd = pc.or_(odd, pc.match_substring(texts, token))
+        odd = odd.to_numpy(zero_copy_only=False)
+        out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
+        whole = np.flatnonzero(odd)
+        for i, ids in zip(whole, self._each(texts.take(pa.array(whole)).to_pylist()), strict=True):
+            out[i] = np.append(np.array(ids, np.uint32), np.uint32(end))
+        plain = np.flatnonzero(~odd)
+        if not len(plain):
+            return out
+        lists = pc.split_pattern(texts.take(pa.array(plain)), " ")
+        flat, begin = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
+        first = np.zeros(len(flat), bool)
+        first[begin[:-1]] = True
+        heads = pc.binary_join_element_wise(pa.scalar(" "), flat.filter(pa.array(first)), pa.scalar(""))
+        words = pa.concat_arrays([flat.filter(pa.array(~first)), heads])
+        del flat, lists
+        at = pc.index_in(words, value_set=self.known)
+        number = at.fill_null(0).to_numpy().astype(np.int64)
+        missing = at.is_null()
+        new = words.filter(missing).dictionary_encode()
+        ids, ends = self.ids, self.ends
+        if len(new):
+            number[missing.to_numpy(zero_copy_only=False)] = len(self.known) + new.indices.to_numpy().astype(np.int64)
+            more, lengths = self._learned(new.dictionary.to_pylist())
+            ids, ends = np.concatenate([ids, more]), np.concatenate([ends, ends[-1] + np.cumsum(lengths)])
+            room = self.MOST - len(self.known)
+            if room > 0:
+                self.known = pa.concat_arrays([self.known, new.dictionary.slice(0, room)])
+                self.ends = ends[: len(self.known) + 1].copy()
+                self.ids = ids[: self.ends[-1]].copy()
+        numbers = np.empty(len(first), np.int64)
+        numbers[~first], numbers[first] = number[: len(number) - len(plain)], number[len(number) - len(plain) :]
+        lengths = ends[numbers + 1] - ends[numbers]
+        stops = np.cumsum(lengths)
+        spelled = ids[np.repeat(ends[numbers] - stops + lengths, lengths) + np.arange(int(stops[-1]))]
+        bounds = np.concatenate([[0], stops])[begin]
+        for i, a, b in zip(plain.tolist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            out[i] = np.append(spelled[a:b], np.uint32(end))
         return out
 
 
-_FILES = "number int, uri string, n_bytes long, n_docs long, n_tokens long, n_blocks long"
+_FILES = "number int, part int, uri string, n_bytes long, n_docs long, n_tokens long, n_blocks long"
+_FILE_KIND = pa.schema([("number", pa.int32()), ("part", pa.int32()), ("uri", pa.string()), *((k, pa.int64()) for k in ("n_bytes", "n_docs", "n_tokens", "n_blocks"))])
+#: A task goes on with a new file from so many ids on; texts are encoded in groups of about so many bytes.
+FILE_TOKENS = 1 << 26
+GROUP = 4 << 20
+
 
+def _groups(batch: pa.RecordBatch, group: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about this many bytes of text (column 1), of a document at least."""
+    text = batch.column(1)
+    ends = np.cumsum(pc.binary_length(text).to_numpy().astype(np.int64))
+    at = 0
+    while at < len(ends):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + group, "right")))
+        yield batch.slice(at, stop - at)
+        at = stop
 
-def write_tokens(docs: DataFrame, tokenizer: str, end: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+
+def write_tokens(docs: DataFrame, tokenizer: str, end: int, doc_id: str = "doc_id", text: str = "text", file_tokens: int = FILE_TOKENS, group: int = GROUP) -> DataFrame:
     """Writes the ids of all documents and returns the table of files: _FILES and start, the ids in the files before."""
     folder = scratch(docs.sparkSession, "tokens")
     rows = docs.select(F.col(doc_id).cast("long").alias("d"), F.coalesce(F.col(text), F.lit("")).alias("t"))
@@ -318,30 +338,27 @@ def write_tokens(docs: DataFrame, tokenizer: str, end: int, doc_id: str = "doc_i
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId()
-        first = next((b for b in batches if b.num_rows), None)
-        if first is None:
-            return
-        encoder, uri = Encoder.shared(tokenizer), f"{folder}/{number:06d}-{uuid.uuid4().hex}.tok"
-        with writing(uri) as out:
-            writer = Writer(out)
-            for batch in _chain(first, batches):
-                for at in range(0, batch.num_rows, 256):
-                    part = batch.slice(at, 256)
-                    for d, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist(), end), strict=True):
+        encoder = Encoder.shared(tokenizer)
+        groups = (g for b in batches for g in _groups(b, group))
+        held = next(groups, None)
+        part = 0
+        while held is not None:
+            uri = f"{folder}/{number:06d}-{part:04d}-{uuid.uuid4().hex}.tok"
+            with writing(uri) as out:
+                writer = Writer(out)
+                while held is not None and writer.n_tokens < file_tokens:
+                    for d, ids in zip(held.column(0).to_pylist(), encoder.encode(held.column(1), end), strict=True):
                         writer.add(d, ids)
-            done = writer.close()
-        yield pa.RecordBatch.from_pylist([{"number": number, "uri": uri} | {k: done[k] for k in ("n_bytes", "n_docs", "n_tokens", "n_blocks")}], pa.schema([("number", pa.int32()), ("uri", pa.string()), *((k, pa.int64()) for k in ("n_bytes", "n_docs", "n_tokens", "n_blocks"))]))
+                    held = next(groups, None)
+                done = writer.close()
+            yield pa.RecordBatch.from_pylist([{"number": number, "part": part, "uri": uri} | {k: done[k] for k in ("n_bytes", "n_docs", "n_tokens", "n_blocks")}], _FILE_KIND)
+            part += 1
 
     files = materialise(rows.repartitionByRange("d").sortWithinPartitions("d").mapInArrow(write, _FILES), "token-files")
-    before = Window.orderBy("number").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
+    before = Window.orderBy("number", "part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
     return files.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
 
-def _chain(first, rest):
-    yield first
-    yield from rest
-
-
 _READ = "doc_id long, start long, n_tokens long, ids_crc32 long, ids array<int>"
 
 

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -44,15 +45,15 @@ def test_files_give_any_stretch(spark):
 
 def test_encoder_agrees_with_the_tokenizer(monkeypatch):
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     rng = random.Random(4)
-    texts = ["", " ", "  ", "a  b", "a\n b", "a \n b", " \n ", "it's we'll", "日本語 テキスト", "é\xa0x   y", "<|endoftext|> x", "1½ ²", "a\x1cb \x1c c"]
+    texts = ["", " ", "  ", "a  b", "a\n b", "a \n b", " \n ", "it's we'll", "日本語 テキスト", "é\xa0x   y", "<|endoftext|> x", "a <|endoftext|> b", "a\n <|endoftext|>\n b", "<|endoftext|><|endoftext|>", "1½ ²", "a\x1cb \x1c c"]
     texts += ["".join(rng.choice([" ", "  ", "\n", "\t", "ab", "é", "1", ".", "'s", "　", "字"]) for _ in range(rng.randrange(40))) for _ in range(400)]
+    texts += [x.replace('字', '<|endoftext|>') for x in texts[-100:]]
     for most in (250_000, 5):
         monkeypatch.setattr(token_ids.Encoder, "MOST", most)
         e = token_ids.Encoder(PATH)
         for _ in range(2):
-            assert [x.tolist() for x in e.encode(texts, 2)] == [[*x.ids, 2] for x in t.encode_batch(texts, add_special_tokens=False)]
+            assert [x.tolist() for x in e.encode(pa.array(texts), 2)] == [[*x.ids, 2] for x in t.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_documents_come_back_in_order(spark):
@@ -65,6 +66,9 @@ def test_documents_come_back_in_order(spark):
     assert [r["doc_id"] for r in got] == sorted((r[0] for r in rows), key=lambda d: (d is not None, d))
     want = sorted(((d, [*t.encode(x or "", add_special_tokens=False).ids, 2]) for d, x, _ in rows), key=repr)
     assert sorted(((r["doc_id"], r["ids"]) for r in got), key=repr) == want
+    small = token_ids.write_tokens(docs(spark, rows).repartition(5), PATH, 2, file_tokens=1, group=500)
+    assert small.count() > files.count()
+    assert [tuple(r) for r in token_ids.read_tokens(small).orderBy("start").collect()] == [tuple(r) for r in got]
     at = 0
     for r in got:
         assert r["start"] == at and r["n_tokens"] == len(r["ids"]) and r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes())
