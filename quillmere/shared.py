@@ -8,55 +8,87 @@ table lists them, so a task that runs twice, or an executor that is lost, leaves
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Tables of a few narrow columns are written by at most so many tasks for each core.
+TASKS_PER_CORE = 4
+#: Bytes of an Arrow batch between Spark and a Python worker.
+BATCH_BYTES = 4 << 20
 
-#: Folders made by operators that are being tidied up, innermost last.
-_made: list[list[str]] = []
+#: Folders made by operators that are being tidied up in this thread, innermost last.
+_making = threading.local()
+#: Folders of local sessions that have no shared folder, by application.
+_local: dict[str, str] = {}
+
+
+def base(spark: SparkSession) -> str:
+    """The shared folder of the session. Only a session within this process may do without: it gets a temporary folder."""
+    set_ = spark.conf.get("spark.checkpoint.dir", None)
+    if set_:
+        return set_
+    context = spark.sparkContext
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise RuntimeError("operators write to spark.checkpoint.dir, a folder that the driver and all executors share; set it")
+    return _local.setdefault(context.applicationId, "file://" + tempfile.mkdtemp(prefix="quillmere-"))
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """URI of a new folder in the shared folder of the session; a session without one gets a local one, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="quillmere-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/quillmere/{label}-{uuid.uuid4().hex}"
-    if _made:
-        _made[-1].append(path)
+    """URI of a new folder in the shared folder of the session."""
+    path = f"{base(spark).rstrip('/')}/quillmere/{label}-{uuid.uuid4().hex}"
+    made = getattr(_making, "stack", None)
+    if made:
+        made[-1].append(path)
     return path
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Writes df once to the shared folder and reads it back: lineage ends there, and what is nondeterministic is fixed."""
+def materialise(df: DataFrame, label: str, few: bool = False) -> DataFrame:
+    """Writes df once to the shared folder and reads it back: lineage ends there, and what is nondeterministic is fixed.
+
+    few: df is narrow and small against the input, so that one task may write several partitions of it.
+    """
     spark = df.sparkSession
     path = scratch(spark, label)
+    if few:
+        df = df.coalesce(TASKS_PER_CORE * max(1, spark.sparkContext.defaultParallelism))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds what goes to a Python worker at a time by its bytes, unless the session's own bound is smaller. Without it a
+    batch of long texts is bounded by its rows alone, and both sides hold several times its size."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name).lower().removesuffix("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:  # other spellings have units above bytes
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def remove(spark: SparkSession, uri: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(uri)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def tidied(make: Callable[[], DataFrame], spark: SparkSession, label: str) -> DataFrame:
-    """What make() returns, written; the folders that were made on the way are removed."""
+def tidied(make: Callable[[], DataFrame], spark: SparkSession, label: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """What make() returns, written; the folders that were made on the way are removed, but for those with these labels."""
+    if not hasattr(_making, "stack"):
+        _making.stack = []
     made: list[str] = []
-    _made.append(made)
-    try:
-        result = make()
-    finally:
-        _made.pop()
+    _making.stack.append(made)
     try:
+        try:
+            result = make()
+        finally:
+            _making.stack.pop()
         return materialise(result, label)
     finally:
         for path in made:
-            remove(spark, path)
+            if path.rpartition("/")[2].rpartition("-")[0] not in keep:
+                remove(spark, path)
 
 
 def _filesystem(uri: str):
