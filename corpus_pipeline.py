@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmere.llm import decontaminate, jaccard_join, mixing, quality, token_ids
-from quillmere.shared import materialise
+from quillmere.shared import materialise, tidied
 
 #: Near duplicates: word shingles and percent of similarity.
 SHINGLE, SIMILARITY = 5, 80
@@ -36,11 +36,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     # texts without words link with nothing; of these only rows with one doc_id and one text are one document
     empty = F.col("n_shingles") == 0
     group = (F.when(~empty, F.col("component_id")), F.when(empty, F.col("_id")), F.when(empty, F.col("_text")))
-    rows = materialise(rows.select("_row", "_id", "_text", *(g.alias(f"_group{i}") for i, g in enumerate(group))), "rows")
+    rows = materialise(rows.select("_row", "_id", "_text", *(g.alias(f"_group{i}") for i, g in enumerate(group))), "rows", few=True)
     first = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_text", "_row")).alias("first")
     kept = rows.groupBy("_group0", "_group1", "_group2").agg(first).select("first._row")
     # numbers alone, and broadcast up to a checked number of them
-    gone = materialise(rows.select("_row").join(kept, "_row", "left_anti"), "gone")
+    gone = materialise(rows.select("_row").join(kept, "_row", "left_anti"), "gone", few=True)
     if gone.count() <= jaccard_join.BROADCAST_ROWS:
         gone = F.broadcast(gone)
     return keyed.join(gone, "_row", "left_anti").select(*docs.columns)
@@ -51,7 +51,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     keyed = docs.select("doc_id", F.xxhash64("text").alias("_text"), "text")
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = decontaminate.find(keyed, items, keep=["doc_id", "_text"]).where("contaminated")
-    hit = materialise(found.select(F.col("doc_id").alias("_hit"), F.col("_text").alias("_hit_text")).distinct(), "contaminated")
+    hit = materialise(found.select(F.col("doc_id").alias("_hit"), F.col("_text").alias("_hit_text")).distinct(), "contaminated", few=True)
     if hit.count() <= jaccard_join.BROADCAST_ROWS:
         hit = F.broadcast(hit)
     return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("_hit")) & (F.xxhash64("text") == F.col("_hit_text")), "left_anti")
@@ -83,5 +83,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{k}")
+        # what a stage wrote on its way goes; the token files are what the pipeline makes
+        docs = tidied(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), spark, f"stage-{k}", keep=("tokens", "token-files"))
     return docs
