@@ -111,7 +111,7 @@ def _covered(stretches: Column) -> Column:
 def find(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = WINDOW, shingle: int = SHINGLE, literals: int = LITERALS, broadcast_rows: int = BROADCAST_ROWS, keep: list[str] | None = None) -> DataFrame:
     """docs (or the columns to keep, which are written once) with n_words, n_hit, n_items (long), items (ids as strings, sorted) and contaminated (boolean)."""
     docs = docs.drop(*ADDED, "_row", "_hits", "_words")
-    windows = materialise(windows_of(items, size, shingle, item_id, item_text), "windows")
+    windows = materialise(windows_of(items, size, shingle, item_id, item_text), "windows", few=True)
     tokens = windows.select("w", "len", "items", F.explode("shingles").alias("s")).select("w", "len", "items", "s.o", "s.h")
     lengths = [r[0] for r in windows.select(F.least("len", F.lit(shingle)).alias("k")).distinct().orderBy("k").collect()] or [shingle]
     places = _places(docs, text, keep or docs.columns, tokens.select("h").distinct(), lengths, size, literals)
@@ -120,7 +120,7 @@ def find(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "
     rarest = tokens.join(counts, "h", "left").groupBy("w").agg(
         F.min(F.struct(F.coalesce("freq", F.lit(0)).alias("freq"), "o", "h")).alias("s"), F.first("len").alias("len"), F.first("items").alias("items")
     )
-    prefixes = materialise(rarest.where("s.freq > 0").select("w", "len", "items", "s.o", "s.h"), "prefixes")
+    prefixes = materialise(rarest.where("s.freq > 0").select("w", "len", "items", "s.o", "s.h"), "prefixes", few=True)
     if prefixes.count() <= broadcast_rows:
         prefixes = F.broadcast(prefixes)
     start = F.col("pos") - F.col("o")

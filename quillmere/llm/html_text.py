@@ -29,6 +29,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from quillmere.shared import bound_batches
+
 #: HTML's elements by how they are read.
 RAW = ("script", "style")
 #: Elements that stand in a line: what they hold is a block of its own, but without text they do not break the flow.
@@ -477,6 +479,7 @@ def extract(df: DataFrame, html: str = "html") -> DataFrame:
     names = [c for c in df.columns if c not in ("text", "n_chars", html)]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in names), "text string, n_chars long"])
     model = trained()
+    bound_batches(df.sparkSession)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from quillmere.llm import shingles
 from quillmere.llm.components import components
-from quillmere.shared import materialise, tidied
+from quillmere.shared import bound_batches, materialise, tidied
 
 THRESHOLD = 85
 SHINGLE = 4
@@ -142,7 +142,7 @@ def _frequencies(scanned: DataFrame) -> DataFrame:
         return pd.concat([out, pd.DataFrame({"mark": pd.array([None], "Int64"), "n": [0], "n1": [rest.sum()], "n2": [(rest * rest).sum()]})], ignore_index=True)
 
     parts = scanned.where("bucket is not null").select("bucket", "marks", "counts")
-    return materialise(parts.groupBy("bucket").applyInPandas(count, "mark long, n long, n1 double, n2 double"), "frequencies")
+    return materialise(parts.groupBy("bucket").applyInPandas(count, "mark long, n long, n1 double, n2 double"), "frequencies", few=True)
 
 
 def _frequent(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -347,7 +347,7 @@ _SETS = "cls long, tokens array<long>"
 
 def _sets(wanted: DataFrame, docs: DataFrame, owners: DataFrame, k: int) -> DataFrame:
     """(cls, tokens) for these classes (cls), made again from the texts of their owners."""
-    ids = materialise(wanted.distinct().join(owners, "cls").select(F.col("doc_id").alias("_owner")).distinct(), "owners")
+    ids = materialise(wanted.distinct().join(owners, "cls").select(F.col("doc_id").alias("_owner")).distinct(), "owners", few=True)
     if ids.count() <= BROADCAST_ROWS:
         ids = F.broadcast(ids)
 
@@ -457,14 +457,14 @@ def _forests(members: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     sized = rows.groupBy(*group).agg(parts.alias("parts"))
     same = (F.col("r.key") == F.col("s.key")) & (F.col("r.band") == F.col("s.band")) & F.col("r.owner").eqNullSafe(F.col("s.owner"))
     rows = rows.alias("r").join(sized.alias("s"), same).select("r.*", F.pmod(F.xxhash64(F.col("r.cls"), F.lit(7)), F.col("s.parts")).cast("int").alias("part"))
-    rows = materialise(rows, "block-members")
+    rows = materialise(rows, "block-members", few=True)
     blocks = rows.groupBy(*group, "part").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     blocks = blocks.withColumn("id", F.xxhash64(*group, "part"))
     far = blocks.select("key", F.col("id").alias("j"), F.col("band").alias("band_j"), F.col("low").alias("low_j"), F.col("high").alias("high_j"))
     near = blocks.select("key", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band_j"), F.col("band").alias("band_i"), F.col("id").alias("i"), "low", "high")
     met = near.join(far, ["key", "band_j"]).where((F.col("band_i") < F.col("band_j")) | (F.col("i") <= F.col("j")))
     met = met.where(~((F.col("low") == F.col("high")) & (F.col("low_j") == F.col("high_j")) & (F.col("low") == F.col("low_j"))))
-    met = materialise(met.select("key", "i", "j"), "block-pairs")
+    met = materialise(met.select("key", "i", "j"), "block-pairs", few=True)
     sides = met.select("key", "i", "j", F.col("i").alias("id"), F.lit(False).alias("side")).unionByName(met.where("i <> j").select("key", "i", "j", F.col("j").alias("id"), F.lit(True).alias("side")))
     cut = rows.withColumn("id", F.xxhash64(*group, "part")).select("key", "id", "cls", "component").join(sides, ["key", "id"]).select("key", "i", "j", "side", "cls", "component")
     return cut.join(sets, "cls").groupBy("key", "i", "j").applyInPandas(join, "a long, b long").distinct()
@@ -483,11 +483,12 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int
 
 def _classes(docs: DataFrame, doc_id: str, text: str, k: int, threshold: int) -> DataFrame:
     spark = docs.sparkSession
+    bound_batches(spark)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     bits = max(4, math.ceil(math.log2(int(spark.conf.get("spark.sql.shuffle.partitions")))))
     scanned = _scan(docs, k, bits)
     own = scanned.where("bucket is null").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("cls")).alias("cls"))
-    owners = materialise(own.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id")), "classes")
+    owners = materialise(own.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id")), "classes", few=True)
 
     counted = _frequencies(scanned)
     n1, n2 = counted.agg(F.sum("n1"), F.sum("n2")).first()
@@ -497,26 +498,26 @@ def _classes(docs: DataFrame, doc_id: str, text: str, k: int, threshold: int) ->
     sent = spark.sparkContext.broadcast((marks, counts))
 
     posted = _post(docs, k, threshold, limit, sent).repartition("key", "part").sortWithinPartitions("key", "part", "cls")
-    listed = materialise(_lists(posted, threshold, HELD_ROWS), "lists")
+    listed = materialise(_lists(posted, threshold, HELD_ROWS), "lists", few=True)
     heads = listed.where("kind = 2")
     best = heads.groupBy("key").agg(F.max(F.struct("central", "cls", "n")).alias("best"))
     far = heads.join(best, "key").where("cls <> best.cls").select(F.least("cls", "best.cls").alias("a"), F.greatest("cls", "best.cls").alias("b"), "light", F.least("n", "best.n").alias("n"))
     small = F.least(F.col("n"), F.col("other_n"))
     stars = listed.where("kind = 1").select(F.least("cls", "other").alias("a"), F.greatest("cls", "other").alias("b"), "light", small.alias("n")).unionByName(far)
     enough = (F.max("light")) | (F.count("*") >= 1 + F.floor(F.min("n") / 24))
-    stars = materialise(stars.groupBy("a", "b").agg(enough.alias("enough")).where("enough").select("a", "b"), "stars")
-    links = materialise(_verified(stars, docs, owners, k, threshold), "star-links")
+    stars = materialise(stars.groupBy("a", "b").agg(enough.alias("enough")).where("enough").select("a", "b"), "stars", few=True)
+    links = materialise(_verified(stars, docs, owners, k, threshold), "star-links", few=True)
     label = components(links)
 
     # members of lists that hold two components still
     members = listed.where("kind = 0").select("key", "cls", "n", "pos", "light")
     members = members.join(label.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    members = materialise(members, "members")
+    members = materialise(members, "members", few=True)
     mixed = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low <> high").select("key", "size")
-    members = materialise(members.join(mixed, "key"), "mixed-members")
+    members = materialise(members.join(mixed, "key"), "mixed-members", few=True)
     # long lists: all that their members' whole sets link; pairs that meet in one are settled by that
     long = members.where(F.col("size") > LONG).select("key", "cls", "n", "component")
-    joined = materialise(_forests(long, _sets(long.select("cls"), docs, owners, k), threshold), "long-links")
+    joined = materialise(_forests(long, _sets(long.select("cls"), docs, owners, k), threshold), "long-links", few=True)
     # short lists: pairs that share enough of them
     short = members.where(F.col("size") <= LONG)
     x, y = (short.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("cls", "n", "pos", "light", "component"))) for s in "ab")
@@ -524,7 +525,7 @@ def _classes(docs: DataFrame, doc_id: str, text: str, k: int, threshold: int) ->
     close = ((100 + threshold) * rest >= threshold * (F.col("n_a") + F.col("n_b"))) & (100 * F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b"))
     met = x.join(y, "key").where((F.col("cls_a") < F.col("cls_b")) & (F.col("component_a") != F.col("component_b")) & close)
     met = met.groupBy(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).agg((F.max("light_a") | (F.count("*") >= 1 + F.floor(F.min(F.least("n_a", "n_b")) / 24))).alias("enough"))
-    met = materialise(met.where("enough").select("a", "b"), "met")
+    met = materialise(met.where("enough").select("a", "b"), "met", few=True)
     more = _verified(met, docs, owners, k, threshold).unionByName(joined)
     label = components(links.unionByName(more))
 

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmere.llm.exprs import SPACES
-from quillmere.shared import materialise
+from quillmere.shared import bound_batches, materialise
 
 LEAST_CHARS = 40
 LEAST_DOCS = 5
@@ -168,6 +168,7 @@ def line_keys(docs: DataFrame, least_chars: int, doc_id: str = "doc_id", text: s
                     ids.append(d), his.append(hi), los.append(lo)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(his, pa.int64()), pa.array(los, pa.int64())], schema=_KEYS_KIND)
 
+    bound_batches(docs.sparkSession)
     return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(keys, _KEYS)
 
 

@@ -36,7 +36,7 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     """(_key, source_size) to the same with target: weights by rank, at most `most` times the size, the rest shared again."""
     table = with_rank(ranged(sources, [F.col("_key")], "mix-sources"), "_rank")
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("_rank") % len(weights) + 1).cast("int")).cast("long")
-    table = materialise(table.select("_key", "source_size", weight.alias("_weight")), "mix-weights")
+    table = materialise(table.select("_key", "source_size", weight.alias("_weight")), "mix-weights", few=True)
     total, shared = table.agg(F.sum("source_size"), F.sum("_weight")).first()
     left, full = total, 0
     while shared:

@@ -29,6 +29,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from quillmere.shared import bound_batches
+
 KINDS = ("email", "ip", "card", "phone")
 
 #: The base patterns. A match of them can begin only where a run of its first class begins, or where the
@@ -366,6 +368,7 @@ def detect(df: DataFrame, text: str = "text", redacted: bool = False) -> DataFra
 
     The text itself is in the result only if it stands in df under another name or redacted is asked for.
     """
+    bound_batches(df.sparkSession)
     names = [c for c in df.columns if c not in (*_ADDED, "redacted", text)]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in names), *(f"n_{k} long" for k in KINDS), "base_spans string", "spans string", *(["redacted string"] if redacted else [])])
 

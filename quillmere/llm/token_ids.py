@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmere.shared import materialise, read_bytes, scratch, writing
+from quillmere.shared import bound_batches, materialise, read_bytes, scratch, writing
 
 MAGIC = b"QMTOKEN1"
 BLOCK = 256
@@ -331,6 +331,7 @@ def _groups(batch: pa.RecordBatch, group: int) -> Iterator[pa.RecordBatch]:
 
 def write_tokens(docs: DataFrame, tokenizer: str, end: int, doc_id: str = "doc_id", text: str = "text", file_tokens: int = FILE_TOKENS, group: int = GROUP) -> DataFrame:
     """Writes the ids of all documents and returns the table of files: _FILES and start, the ids in the files before."""
+    bound_batches(docs.sparkSession)
     folder = scratch(docs.sparkSession, "tokens")
     rows = docs.select(F.col(doc_id).cast("long").alias("d"), F.coalesce(F.col(text), F.lit("")).alias("t"))
 

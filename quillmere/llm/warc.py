@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmere.shared import _filesystem, materialise, scratch, writing
+from quillmere.shared import _filesystem, bound_batches, materialise, scratch, writing
 
 #: The field lines of the ARC versions.
 ARC_FIELDS = {
@@ -196,6 +196,7 @@ def _batches(rows: Iterator[dict], schema: pa.Schema, size: int = 4096) -> Itera
 
 def write_arcs(pages: DataFrame, date: str = "20240101000000", page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Packs pages into ARC files, version 1 and 2 in turn; returns the table of files."""
+    bound_batches(pages.sparkSession)
     folder = scratch(pages.sparkSession, "arcs")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
