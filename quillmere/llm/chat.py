@@ -9,7 +9,8 @@ and parse() recovers the turns by splitting at the control strings alone; a cont
 another's, is an error of the grammar. Rendering starts without escapes, is parsed back
 and compared with the source; a conversation whose turns do not come back identical has the conflicting turns escaped, is
 parsed and compared again, and is at last rendered with all turns escaped. Escaping doubles backslashes and puts one inside
-each control string, so no text contains one; it is undone by the reverse. `identical` says that the comparison held.
+each control string, so no text contains one; it is undone by the reverse. Roles are percent-encoded where they hold a
+bracket, < or %. `identical` says that the comparison held.
 
 Everything is built-in expressions: one aggregation brings a conversation's turns together, all else is one projection.
 
@@ -43,13 +44,21 @@ def unescape(text: Column) -> Column:
     return F.replace(text, F.lit("\\\\"), F.lit("\\"))
 
 
+#: Characters of roles that begin a control string or end the opening of a turn, and what stands for them. The first one is
+#: what the others are spelled with.
+ROLE_MARKS = (("%", "%25"), ("[", "%5B"), ("]", "%5D"), ("<", "%3C"))
+
+
 def escape_role(role: Column) -> Column:
-    """Roles also must not end the opening of their turn."""
-    return F.replace(escape(role), F.lit("]"), F.lit("\\_"))
+    for c, mark in ROLE_MARKS:
+        role = F.replace(role, F.lit(c), F.lit(mark))
+    return role
 
 
 def unescape_role(role: Column) -> Column:
-    return unescape(F.replace(role, F.lit("\\_"), F.lit("]")))
+    for c, mark in reversed(ROLE_MARKS):
+        role = F.replace(role, F.lit(mark), F.lit(c))
+    return role
 
 
 def conflicts(text: Column) -> Column:

@@ -8,7 +8,7 @@ ROWS = "conv_id long, turn long, role string, text string"
 def test_round_trip_of_hostile_turns(spark):
     rng = random.Random(5)
     pieces = [*chat.CONTROLS, "\\", "\\\\", "<\\s>", "<\\", "[", "]", "TURN", " ", "\n", "é", "a", "<s", "/s>", "[/INST", "\\_", "!"]
-    rows = [(c, t, rng.choice(["user", "assistant", "sys]tem", "[TURN x", None, "a\\b"]), rng.choice([None, "".join(rng.choice(pieces) for _ in range(rng.randrange(9)))])) for c in range(300) for t in range(rng.randrange(1, 5))]
+    rows = [(c, t, rng.choice(["user", "assistant", "sys]tem", "[TURN x", None, "a\\b", "a\\_b", "%5D", "a%", "<s>", "]"]), rng.choice([None, "".join(rng.choice(pieces) for _ in range(rng.randrange(9)))])) for c in range(300) for t in range(rng.randrange(1, 5))]
     rows += [(900, 0, "user", "plain"), (900, 0, "user", "plain"), (None, None, "user", "x" * 50_000)]
     got = {r["conv_id"]: r for r in chat.format_chats(spark.createDataFrame(rows, ROWS)).withColumn("back", chat.parse(chat.F.col("formatted"))).collect()}
     for c in {r[0] for r in rows}:
@@ -30,3 +30,8 @@ def test_broken_text_does_not_parse(spark):
     bad = ["<s>[TURN user]a</s>x", "<s>[TURN user]a<s>[/TURN]</s>", "<s>user]a[/TURN]</s>", "[TURN user]a[/TURN]"]
     rows = spark.createDataFrame([(b,) for b in bad], "f string").select(chat.parse(chat.F.col("f")).alias("t")).collect()
     assert all(r["t"] is None or None in r["t"] for r in rows)
+
+
+def test_other_columns_may_clash(spark):
+    rows = spark.createDataFrame([(1, 0, "user", "a", "x", 3)], ROWS + ", formatted string, level int")
+    assert chat.format_chats(rows).select("formatted", "level").first() == ("<s>[TURN user]a[/TURN]</s>", 0)
