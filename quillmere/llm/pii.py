@@ -2,7 +2,8 @@
 
 Generators with high recall propose spans that may overlap: everything that the exact base patterns accept, and looser forms
 (addresses spelled with "at" and "dot" in any case, digits of a telephone or card number with any of the usual separators or
-none, IP addresses with spelled or spaced dots, IPv6). Boosted trees score each loose
+none, IP addresses with spelled or spaced dots, IPv6), and three kinds that have no base pattern: iban (account numbers),
+ssn (national numbers) and secret (keys, tokens, passwords, private key blocks). Boosted trees score each loose
 candidate from its format and its context. Their scores are calibrated on examples of their own, per kind, and a candidate
 is redacted from the threshold on at which the calibrated precision is PRECISION. Spans of base patterns are always kept; a
 candidate that touches one, or a better candidate, is dropped.
@@ -32,6 +33,8 @@ from pyspark.sql import DataFrame
 from quillmere.shared import bound_batches
 
 KINDS = ("email", "ip", "card", "phone")
+#: And those that only candidates have.
+ALL_KINDS = (*KINDS, "iban", "ssn", "secret")
 
 #: The base patterns. A match of them can begin only where a run of its first class begins, or where the
 #: match before ended, so the look-behinds change nothing but the time that long runs take.
@@ -85,7 +88,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 # --- candidates -----------------------------------------------------------------------------------------------------
 
-AT_SIGN = re.compile(r" {0,2}[\[({<] ?(?:at|arroba|@) ?[\])}>] {0,2}|(?<=[A-Za-z0-9]) {1,2}(?:at|arroba|@) {1,2}|@ ?| @", re.I)
+AT_SIGN = re.compile(r" {0,2}[\[({<] ?(?:at|arroba|@) ?[\])}>] {0,2}|(?<=[A-Za-z0-9_]) {1,2}(?:at|arroba|@) {1,2}|@ ?| @", re.I)
 LOOSE_LOCAL = re.compile(r"(?<![\w.%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}\Z")
 LOOSE_DOMAIN = re.compile(r"[A-Za-z0-9-]{1,63}(?:(?: {0,2}[\[({<] ?(?:dot|punkt|punto|point|\.) ?[\])}>] {0,2}| {1,2}(?:dot|punkt|punto|point|\.) {1,2}|\.)[A-Za-z0-9-]{1,63}){1,4}", re.I)
 #: Digits with up to three separators between two of them. It is cut at blanks into the numbers that may be meant.
@@ -97,10 +100,20 @@ PHONE_WORDS = re.compile(r"\b(?:tel|telefon|telefono|teléfono|téléphone|phone
 MAIL_WORDS = re.compile(r"\b(?:mail|e-mail|email|contact|write|reach|correo|kontakt)\b", re.I)
 IP_WORDS = re.compile(r"\b(?:ip|ipv4|ipv6|host|server|address|addr|ping|client|from)\b", re.I)
 CARD_WORDS = re.compile(r"\b(?:card|visa|mastercard|amex|credit|debit|karte|kreditkarte|tarjeta|carte|cc)\b", re.I)
-WORDS = {"email": MAIL_WORDS, "ip": IP_WORDS, "card": CARD_WORDS, "phone": PHONE_WORDS}
+IBAN_WORDS = re.compile(r"\b(?:iban|account|konto|cuenta|compte|bank|acct)\b", re.I)
+SSN_WORDS = re.compile(r"\b(?:ssn|social security|national id|passport|tax id|nino|dni|insurance)\b", re.I)
+SECRET_WORDS = re.compile(r"(?:token|secret|password|passwd|pwd|passphrase|api[_ -]?key|access[_ -]?key|private[_ -]?key|auth|bearer|credential|passwort|kennwort|contraseña|mot de passe)", re.I)
+WORDS = {"email": MAIL_WORDS, "ip": IP_WORDS, "card": CARD_WORDS, "phone": PHONE_WORDS, "iban": IBAN_WORDS, "ssn": SSN_WORDS, "secret": SECRET_WORDS}
+IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Za-z]{2}[0-9]{2}(?:[ -]?[A-Za-z0-9]){11,30}(?![A-Za-z0-9])")
+SSN = re.compile(r"(?<![0-9A-Za-z-])[0-9]{3}([- ])[0-9]{2}\1[0-9]{4}(?![0-9A-Za-z-])")
+#: A name, a sign of assignment and what is assigned; a run without blanks that is long enough for a key; a key block.
+ASSIGNED = re.compile(r"(?:token|secret|passw(?:or)?d|passwort|kennwort|contraseña|pwd|passphrase|key|auth(?:orization)?|bearer|credentials?)[\"']?(?: ?[:=]+>? ?| is | )(?:bearer )?[\"'`]?([^\s\"'`,;<>]{6,})", re.I)
+LONG_RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}(?![A-Za-z0-9+/_=-])")
+KEY_BLOCK = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]*-----END [A-Z ]*PRIVATE KEY-----)?")
+PREFIXES = re.compile(r"(?:AKIA|ASIA|gh[pousr]_|github_pat_|xox[abprs]-|sk[-_]|pk_live_|AIza|eyJ|glpat-|npm_)")
 ENDINGS = frozenset("com org net edu gov info io de fr es it uk eu example test".split())
 
-FEATURES = ("kind", "length", "digits", "groups", "longest_group", "shortest_group", "parens", "dots", "dashes", "spaces", "brackets", "known_ending", "word_before", "word_near", "digit_before", "digit_after", "upper_share", "grouping_3_3_4", "year_like", "slashes", "plus", "first_zero", "luhn", "byte_parts", "colons", "at_bare")
+FEATURES = ("kind", "length", "digits", "groups", "longest_group", "shortest_group", "parens", "dots", "dashes", "spaces", "brackets", "known_ending", "word_before", "word_near", "digit_before", "digit_after", "upper_share", "grouping_3_3_4", "year_like", "slashes", "plus", "first_zero", "luhn", "byte_parts", "colons", "at_bare", "iban_valid", "assigned", "mix", "hex", "variety", "known_prefix", "ssn_range")
 
 
 def _numbers(text: str) -> Iterator[tuple[str, int, int]]:
@@ -142,20 +155,61 @@ def candidates(text: str) -> Iterator[tuple[str, int, int]]:
             if m.end() - m.start() > 2:
                 yield ("ip", *m.span())
     yield from _numbers(text)
+    for m in IBAN.finditer(text):
+        yield ("iban", *m.span())
+        for blank in re.finditer(" ", m[0]):  # what follows the number may look like its next group
+            if blank.start() >= 15:
+                yield ("iban", m.start(), m.start() + blank.start())
+    if "-" in text or " " in text:
+        for m in SSN.finditer(text):
+            yield ("ssn", *m.span())
+    for m in LONG_RUN.finditer(text):
+        # words alone, and numbers alone, are left to the other kinds
+        if any("0" <= c <= "9" for c in m[0]) and not m[0].isdigit():
+            yield ("secret", *m.span())
+    if SECRET_WORDS.search(text) or "key" in text.lower():
+        for m in ASSIGNED.finditer(text):
+            end = m.end(1)
+            while end > m.start(1) + 6 and text[end - 1] in ".)]}:":
+                end -= 1
+            yield ("secret", m.start(1), end)
+    if "-----BEGIN" in text:
+        for m in KEY_BLOCK.finditer(text):
+            yield ("secret", *m.span())
+
+
+def iban_valid(body: str) -> bool:
+    s = body.replace(" ", "").replace("-", "").upper()
+    return 15 <= len(s) <= 34 and s.isascii() and s.isalnum() and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+
+
+def _shape(kind: str, text: str, start: int, body: str) -> list[float]:
+    """Features that only the kinds without a base pattern have."""
+    if kind not in ("iban", "ssn", "secret"):
+        return [0.0] * 7
+    head = body[:64]
+    sorts = [any(c.islower() for c in head), any(c.isupper() for c in head), any(c.isdigit() for c in head), any(not c.isalnum() for c in head)]
+    assigned = bool(re.search(r"[:=]>? ?[\"'`]?\Z", text[max(0, start - 4) : start]))
+    area = body[:3]
+    return [
+        kind == "iban" and iban_valid(body), assigned, sum(sorts), bool(re.fullmatch(r"[0-9a-f]{32,}|[0-9A-F]{32,}", body)), len(set(head)) / max(1, len(head)), bool(PREFIXES.match(body)) or body.startswith("-----BEGIN"),
+        kind == "ssn" and area not in ("000", "666") and area < "900" and body[4:6] != "00" and body[7:] != "0000",
+    ]
 
 
 def features(text: str, kind: str, start: int, end: int) -> list[float]:
-    body = text[start:end]
+    body = text[start : min(end, start + 4096)]
     before, after = text[max(0, start - 24) : start], text[end : end + 24]
     groups = re.findall(r"[0-9]+", body)
     words = WORDS[kind]
     sizes = [len(g) for g in groups]
     digits = "".join(groups)
     return [
-        KINDS.index(kind), len(body), sum(sizes), len(groups), max(sizes, default=0), min(sizes, default=0), body.count("(") + body.count(")"), body.count("."), body.count("-"), body.count(" "),
+        ALL_KINDS.index(kind), min(len(body), 512), sum(sizes), len(groups), max(sizes, default=0), min(sizes, default=0), body.count("(") + body.count(")"), body.count("."), body.count("-"), body.count(" "),
         sum(body.count(c) for c in "[]{}()"), re.split(r"[\W_]+", body.lower().rstrip(")]} "))[-1] in ENDINGS, bool(words.search(before[-12:])), bool(words.search(before) or words.search(after)),
         bool(re.search(r"[0-9]\W{0,2}\Z", before)), bool(re.match(r"\W{0,2}[0-9]", after)), sum(c.isupper() for c in body) / max(1, len(body)), sizes[-3:] == [3, 3, 4], bool(groups) and len(groups[0]) == 4 and groups[0][:2] in ("19", "20"),
         body.count("/"), body[0] == "+", digits[:1] == "0", 13 <= len(digits) <= 19 and luhn(digits), len(groups) == 4 and all(len(g) <= 3 and int(g) <= 255 for g in groups), body.count(":"), bool(re.search(r"[A-Za-z0-9] (?:at|arroba) [A-Za-z0-9-]+\.", body, re.I)),
+        *_shape(kind, text, start, body),
     ]
 
 
@@ -210,7 +264,7 @@ class Boosted:
 
 
 #: Made-up examples for training, and as many more for calibration.
-N_TRAIN = 2000
+N_TRAIN = 3000
 PRECISION = 0.98
 
 
@@ -230,7 +284,7 @@ def examples(n: int, seed: int) -> tuple[list[tuple[str, str, int, int]], np.nda
     hexes = lambda k: ":".join(f"{rng.integers(0, 65536):x}" for _ in range(k))
     call = lambda: pick("call ", "tel ", "phone: ", "Tel. ", "mobile ", "fax ", "Telefon ", "TEL: ", "whatsapp ", "my number is ")
     while len(rows) < n:
-        case = rng.integers(15)
+        case = rng.integers(20)
         lead = ""
         if case in (0, 8):
             at, dot = pick(" [at] ", "(at)", " (at) ", "[at]", " {at} ", " at ", " @ ", "[@]", " arroba ", "<at>"), pick(" [dot] ", "(dot)", " (dot) ", "[dot]", ".", " dot ", "[.]", " punto ")
@@ -253,7 +307,7 @@ def examples(n: int, seed: int) -> tuple[list[tuple[str, str, int, int]], np.nda
             body, kind, good = pick(f"{number(2)} {number(3)}", f"{number(3)} {number(3)}", f"{number(4)}.{number(2)}", f"{number(3)} {number(2)} {number(2)}", f"{number(4)}-{number(4)}-{number(4)}", f"{number(4)} {number(4)} {number(4)} {number(4)}"), "phone", False
             lead = pick("", "page ", "room ", "items ", "order ", f"{number(3)} ")
         elif case == 7:
-            body, kind, good = pick(f"{number(3)}-{number(2)}-{number(4)}", f"{number(2)}-{number(3)}", f"{number(2)}.{number(2)}.{number(2)}"), "phone", False
+            body, kind, good = pick(f"{number(3)}-{number(3)}", f"{number(2)}-{number(3)}", f"{number(2)}.{number(2)}.{number(2)}"), "phone", False
         elif case in (9, 10):
             lead, kind, good = call(), "phone", True
             body = pick(
@@ -272,6 +326,38 @@ def examples(n: int, seed: int) -> tuple[list[tuple[str, str, int, int]], np.nda
             kind, good, lead = "card", False, pick("", "id ", "tracking ", "order ", "serial ")
             k = int(pick(13, 14, 15, 16))
             body = pick(wrong(k), grouped(wrong(k), pick(".", " ", "-", "/", "  ")))
+        elif case in (15, 16):
+            kind, good = "secret", True
+            mixed = lambda k: "".join(pick(*"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(k))
+            hexed = lambda k: "".join(pick(*"0123456789abcdef") for _ in range(k))
+            lead = pick("token = ", "token: ", "secret=", "api_key: ", "API_KEY=", "password: ", "auth token ", "access_key = ", "client_secret: ", "bearer ", "") + pick("", '"', "'")
+            body = pick(hexed(int(pick(32, 40, 64))), mixed(int(rng.integers(20, 48))), "AKIA" + mixed(16).upper(), "ghp_" + mixed(36), "sk-" + mixed(int(rng.integers(24, 48))), f"xoxb-{number(11)}-{mixed(24)}", f"eyJ{mixed(30)}")
+            if lead[:4] in ("pass",):
+                body = pick(body, f"{pick(word().title(), word() + word())}{number(int(rng.integers(1, 5)))}{pick('!', '#', '$', '_', word() + '!')}", mixed(int(rng.integers(8, 16))))
+            elif not lead.strip("\"'") and not PREFIXES.match(body):
+                lead = pick("key ", "token ", "commit key: ")
+        elif case == 17:
+            kind, good = "secret", False
+            lead = pick("", "", "token ", "the key ", "password ", "secret is ", "token: ", "see ")
+            body = pick(f"{word()}-{word()}-{number(2)}-{word()}{word()}", f"{word()}_{word()}_{word()}{number(1)}{word()}", f"{word()}/{word()}/{word()}/{number(2)}/{word()}", f"{word()}{word()}{word()}{number(1)}x{word()}", "=" * 20 + "1", f"{pick('19', '20')}{number(2)}-{number(2)}-{number(2)}T{number(2)}{number(2)}{number(2)}Z")
+            if lead.strip() in ("the key", "password", "secret is", "token"):
+                body = pick(body, word() + word() + word(), "economy", "exchange")
+        elif case == 18:
+            kind = "iban"
+            lead, land, rest = pick("", "IBAN ", "iban: ", "account ", "Konto "), pick("DE", "FR", "GB", "ES", "NL", "IT", "AT"), number(int(rng.integers(14, 21)))
+            check = 98 - int("".join(str(int(c, 36)) for c in rest + land + "00")) % 97
+            good = bool(rng.integers(4))
+            flat = f"{land}{check if good else (check + int(rng.integers(1, 90))) % 97 or 97:02d}{rest}"
+            good = good or iban_valid(flat)
+            body = pick(flat, " ".join(flat[i : i + 4] for i in range(0, len(flat), 4)))
+        elif case == 19:
+            kind, good = "ssn", bool(rng.integers(3))
+            lead = pick("", "SSN ", "ssn: ", "social security ") if good else pick("", "part ", "ref ")
+            body = f"{int(rng.integers(1, 899)):03d}-{int(rng.integers(1, 99)):02d}-{int(rng.integers(1, 9999)):04d}" if good else f"{pick('000', '9' + number(2), number(3))}{pick('-', ' ')}{pick('00', number(2))}{{}}{number(4)}"
+            if not good:
+                body = body.format("-" if "-" in body else " ")
+                body = body if not lead else f"{pick('000', '9' + number(2))}{body[3:]}"
+                body = body if body[:3] in ("000",) or body[0] == "9" or lead else f"9{body[1:]}"
         else:
             kind, good, lead = "ip", bool(rng.integers(2)), ""
             if good:
@@ -304,7 +390,7 @@ def model() -> tuple[Boosted, dict[str, float]]:
     rows, y = _with_parts(N_TRAIN, 2)
     score = trees.score(np.array([features(*r) for r in rows], float))
     limits = {}
-    for kind in KINDS:
+    for kind in ALL_KINDS:
         own = np.array([r[1] == kind for r in rows])
         order = np.argsort(-score[own], kind="stable")
         s, good = score[own][order], y[own][order]
@@ -347,7 +433,7 @@ def added_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str,
 
 
 def spell(spans: list[tuple[str, int, int]]) -> str:
-    return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (KINDS.index(s[0]), s[1])))
+    return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (ALL_KINDS.index(s[0]), s[1])))
 
 
 def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
@@ -359,25 +445,25 @@ def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join([*out, text[end:]])
 
 
-_ANY = re.compile(r"[0-9@\[({<]| (?:at|arroba) |::", re.I).search
-_ADDED = (*(f"n_{k}" for k in KINDS), "base_spans", "spans")
+_ANY = re.compile(r"[0-9@\[({<]| (?:at|arroba) |::|passw|secret|token|key|pwd", re.I).search
+_ADDED = (*(f"n_{k}" for k in KINDS), "base_spans", "spans", "n_spans")
 
 
 def detect(df: DataFrame, text: str = "text", redacted: bool = False) -> DataFrame:
-    """df with n_email, n_ip, n_card, n_phone (base matches), base_spans, spans and, if asked for, redacted.
+    """df with n_email, n_ip, n_card, n_phone (base matches), base_spans, spans, n_spans (of all) and, if asked for, redacted.
 
     The text itself is in the result only if it stands in df under another name or redacted is asked for.
     """
     bound_batches(df.sparkSession)
     names = [c for c in df.columns if c not in (*_ADDED, "redacted", text)]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in names), *(f"n_{k} long" for k in KINDS), "base_spans string", "spans string", *(["redacted string"] if redacted else [])])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in names), *(f"n_{k} long" for k in KINDS), "base_spans string", "spans string", "n_spans long", *(["redacted string"] if redacted else [])])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 counts: list[list[int]] = [[] for _ in KINDS]
-                bases, every, clean = [], [], []
+                bases, every, clean, sums = [], [], [], []
                 for t in batch.column(len(names)).to_pylist():
                     t = t or ""
                     base = base_spans(t) if _ANY(t) else []
@@ -386,9 +472,10 @@ def detect(df: DataFrame, text: str = "text", redacted: bool = False) -> DataFra
                         column.append(sum(k == kind for k, _, _ in base))
                     bases.append(spell(base))
                     every.append(spell(spans))
+                    sums.append(len(spans))
                     if redacted:
                         clean.append(redact(t, spans))
-                columns = [*(batch.column(i) for i in range(len(names))), *(pa.array(c, pa.int64()) for c in counts), pa.array(bases, pa.string()), pa.array(every, pa.string()), *([pa.array(clean, pa.string())] if redacted else [])]
+                columns = [*(batch.column(i) for i in range(len(names))), *(pa.array(c, pa.int64()) for c in counts), pa.array(bases, pa.string()), pa.array(every, pa.string()), pa.array(sums, pa.int64()), *([pa.array(clean, pa.string())] if redacted else [])]
                 yield pa.RecordBatch.from_arrays(columns, names=[*names, *_ADDED, *(["redacted"] if redacted else [])])
 
     return df.select(*names, text).mapInArrow(find, schema)
