@@ -45,7 +45,8 @@ CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "t
 SCOPES = frozenset("ul ol dl table body div section article main aside nav form header footer blockquote".split())
 
 _NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
-_QUOTE_OR_END = re.compile(r"[>\"']")
+#: The end of a tag, or an attribute's value with its opening quote; a value without quotes may hold quotes.
+_VALUE_OR_END = re.compile(r">|=\s*(?:[\"']|[^\s>\"'][^\s>]*)")
 _MARKS = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _RAW_END = {t: re.compile(rf"</{t}[^>]*>", re.I) for t in RAW}
 
@@ -59,11 +60,16 @@ class Block:
     linked: int = 0
 
 
+_ROOT: tuple[str, frozenset[str], frozenset[str], bool] = ("", frozenset(), frozenset(), False)
+
+
 @dataclass
 class _Page:
     """Open elements and the block that is being read."""
 
-    stack: list[tuple[str, frozenset[str]]] = field(default_factory=list)
+    #: Of each open element: its tag, the tags and the hints from the root to it, and whether it stands in svg or math.
+    stack: list[tuple[str, frozenset[str], frozenset[str], bool]] = field(default_factory=list)
+    count: dict[str, int] = field(default_factory=dict)
     parts: list[str] = field(default_factory=list)
     link_parts: list[str] = field(default_factory=list)
     in_link: bool = False
@@ -78,9 +84,9 @@ class _Page:
         stack = self.stack[: self.silent[0]] if self.silent else self.stack
         text = " ".join(self.decode(self.parts).split())
         if text:
-            marks = frozenset().union(*(m for _, m in stack if m))
+            tag, path, marks, _ = stack[-1] if stack else _ROOT
             linked = len(" ".join(self.decode(self.link_parts).split())) if self.link_parts else 0
-            self.blocks.append(Block(stack[-1][0] if stack else "", frozenset(t for t, _ in stack), marks, text, linked))
+            self.blocks.append(Block(tag, path, marks, text, linked))
         self.parts, self.link_parts = [], []
 
     @staticmethod
@@ -99,25 +105,31 @@ class _Page:
 
     def close(self, tags: tuple[str, ...], within: frozenset[str] = frozenset()) -> None:
         """Closes the innermost of these elements, unless an element of `within` stands above it."""
+        if not any(self.count.get(t) for t in tags):
+            return
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][0] in tags:
                 if self.told and self.told[-1] >= i:
                     self.flush()
                 self.told, self.silent = ([k for k in x if k < i] if x else x for x in (self.told, self.silent))
+                for tag, *_ in self.stack[i:]:
+                    self.count[tag] -= 1
                 del self.stack[i:]
                 return
             if self.stack[i][0] in within:
                 return
 
     def open(self, tag: str, marks: frozenset[str]) -> None:
-        if len(self.stack) < 512:  # deeper elements count as part of their parents
-            if tag in WIDGETS:
-                self.silent.append(len(self.stack))
-            self.stack.append((tag, marks))
+        if tag in WIDGETS:
+            self.silent.append(len(self.stack))
+        _, path, above, foreign = self.stack[-1] if self.stack else _ROOT
+        # elements share the sets of their parents where they add nothing, so deep pages take linear time
+        self.stack.append((tag, path if tag in path else path | {tag}, above if marks <= above else above | marks, tag in FOREIGN or (foreign and tag != "foreignobject")))
+        self.count[tag] = self.count.get(tag, 0) + 1
 
     def foreign(self) -> bool:
         """Whether the innermost of svg, math and foreignobject is one of the first two."""
-        return next((t in FOREIGN for t, _ in reversed(self.stack) if t in FOREIGN or t == "foreignobject"), False)
+        return bool(self.stack) and self.stack[-1][3]
 
 
 #: Words of classes and ids by what they hint at.
@@ -168,10 +180,14 @@ def blocks(page: str) -> list[Block]:
             at = start + 1
             continue
         end = m.end()
-        while (q := _QUOTE_OR_END.search(page, end)) and q[0] != ">":
-            close = -1 if q[0] in unclosed else page.find(q[0], q.end())
+        while (q := _VALUE_OR_END.search(page, end)) and q[0] != ">":
+            quote = q[0][-1]
+            if quote not in "\"'" or q[0][:-1].strip() != "=":  # a value without quotes
+                end = q.end()
+                continue
+            close = -1 if quote in unclosed else page.find(quote, q.end())
             if close < 0:  # a quote that stands alone is no quote
-                unclosed.add(q[0])
+                unclosed.add(quote)
                 end = q.end()
             else:
                 end = close + 1
@@ -360,7 +376,7 @@ def fit(pages: list[list[list[int]]], labels: list[list[int]], epochs: int = 250
 
 # --- labelled pages -------------------------------------------------------------------------------------------------
 
-N_PAGES = 400
+N_PAGES = 600
 
 
 def labelled_page(rng: np.random.Generator) -> tuple[str, list[str]]:
@@ -427,6 +443,12 @@ def labelled_page(rng: np.random.Generator) -> tuple[str, list[str]]:
 
     shell = pick('<article>|</article>', '<article class="post">|</article>', '<main>|</main>', '<main><article>|</article></main>', '<div class="content">|</div>', '<div id="article-body">|</div>', '<div class="entry"><section>|</section></div>', "<article><div>|</div></article>", "<div>|</div>", "|").split("|")
     out = ["<!DOCTYPE html><html><head><title>t</title></head><body>"]
+    if chance(0.15):  # next to nothing but a paragraph or two, in an element that says what they are
+        shell = pick('<article>|</article>', '<article class="post">|</article>', '<main>|</main>', '<div class="content">|</div>', '<div id="article-body">|</div>').split("|")
+        out = [pick("", out[0]), shell[0], *(f"<p>{main(' '.join(sentence() for _ in range(rng.integers(1, 5))) if chance(0.8) else short())}</p>" for _ in range(pick(1, 1, 2))), shell[1]]
+        if chance(0.5):
+            out.append(f"<footer>{pick('&copy; ', 'Copyright ', '')}{word()}.com {short()}</footer>")
+        return "".join(out), said
     if chance(0.5):
         out.append(f"<header{pick('', ' class=masthead')}>{pick(f'<h1>{short()}</h1>', f'<div class=logo>{short()}</div>', f'<p>{short()}</p>')}</header>")
     if chance(0.8):

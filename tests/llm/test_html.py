@@ -72,3 +72,29 @@ def test_nothing_after_an_element_is_lost(between):
 def test_elements_in_a_line():
     found = H.blocks("<p>An <svg><path d='m'/></svg> icon, <math><mi>x</mi><mo>=</mo><mn>1</mn></math> and <button>Go</button> text</p><object><p>Instead</p></object>")
     assert [(b.text, "button" in b.path, "object" in b.path) for b in found] == [("An icon, x=1 and", False, False), ("Go", True, False), ("text", False, False), ("Instead", False, True)]
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ("<article><p>One paragraph of text.</p></article>", "One paragraph of text."),
+        ("<article><p>Hello there, this is it.</p></article><footer>&copy; x.com All rights</footer>", "Hello there, this is it."),
+        (f"<main><p>{'Words that go on. ' * 25}</p></main>", ("Words that go on. " * 25).strip()),
+        ("<nav><a href=x>a</a></nav><article><p data-x=don't>A one here.</p><p>B two there.</p><p>it's C</p><p>D four.</p></article>", "A one here.\nB two there.\nit's C\nD four."),
+        ("<section>" * 520 + "<aside class=sidebar>junk of the side bar</aside><article><h1>T</h1><p>Real text, that is the main one.</p><p>More of it.</p></article>", "T\nReal text, that is the main one.\nMore of it."),
+    ],
+)
+def test_pages_that_were_lost_once(page, text):
+    assert H.main_text(page, H.trained()) == text
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    def took(n):
+        start = time.time()
+        H.blocks("<div><x-y>" * n + "a" + "</div>" * n + "</p></span></li>" * n)
+        return time.time() - start
+
+    took(100)
+    assert took(40_000) < 12 * took(5_000) + 0.5
