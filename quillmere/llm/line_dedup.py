@@ -9,7 +9,9 @@ counts and results of before; nothing else is rebuilt.
 
 dedup() drops lines. With filters and frequent keys within BROADCAST_BYTES, a checked size, tasks test each line against its
 shard's filter, and only what passes, against the exact keys, so each text is read once and moved nowhere. Beyond that size
-the lines that matter are joined with the counts by key, in a join whose hot keys Spark splits, and come back by doc_id.
+the lines that matter are joined with the counts by key, in a join whose hot keys Spark splits, and come back by doc_id;
+filters that no task can hold would need the same shuffle by key to be asked, so that join does without them. The number of
+shards grows with the frequent keys.
 
 A key is 128 bits of hash; two lines are taken as equal when these agree.
 
@@ -20,6 +22,7 @@ together; an empty table gives an empty result; other columns are kept, clashing
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
@@ -34,6 +37,8 @@ from quillmere.shared import bound_batches, materialise
 
 LEAST_CHARS = 40
 LEAST_DOCS = 5
+#: A filter serves about so many keys; there are twice as many shards from double that number on.
+SHARD_KEYS = 500_000
 #: Up to so many bytes of filters and exact frequent keys go to every task.
 BROADCAST_BYTES = 64 << 20
 
@@ -189,11 +194,12 @@ class LineStore:
     least_chars: int = LEAST_CHARS
     least_docs: int = LEAST_DOCS
     bits: int = 6  # of the key that name its shard
+    shard_keys: int = SHARD_KEYS
 
     @classmethod
-    def empty(cls, spark: SparkSession, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS, bits: int = 6) -> LineStore:
+    def empty(cls, spark: SparkSession, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS, bits: int = 6, shard_keys: int = SHARD_KEYS) -> LineStore:
         none = lambda schema: spark.createDataFrame([], schema)
-        return cls(spark, none(_KEYS), none("hi long, lo long, n_docs long, largest long"), none("shard int, data binary"), least_chars, least_docs, bits)
+        return cls(spark, none(_KEYS), none("hi long, lo long, n_docs long, largest long"), none("shard int, data binary"), least_chars, least_docs, bits, shard_keys)
 
     @classmethod
     def build(cls, docs: DataFrame, keep_refs: bool = True, **options) -> LineStore:
@@ -203,7 +209,7 @@ class LineStore:
         if keep_refs:
             refs = materialise(refs, "line-refs")
         counts = materialise(_count(refs), "line-counts")
-        return replace(new, refs=refs, counts=counts)._refilter(counts.where(F.col("n_docs") >= new.least_docs).select("hi", "lo", F.lit(True).alias("enters")))
+        return replace(new, refs=refs, counts=counts)._rebuilt()
 
     def insert(self, docs: DataFrame) -> LineStore:
         added = materialise(line_keys(docs, self.least_chars), "line-refs")
@@ -222,7 +228,16 @@ class LineStore:
     def _frequent(self, counts: DataFrame) -> DataFrame:
         return counts.where(F.col("n_docs") >= self.least_docs).select("hi", "lo")
 
+    def _rebuilt(self) -> LineStore:
+        """All filters anew, with as many shards as the number of frequent keys asks for."""
+        keys = self._frequent(self.counts)
+        bits = max(self.bits, math.ceil(math.log2(max(1, keys.count()) / self.shard_keys)))
+        none = self.spark.createDataFrame([], "shard int, data binary")
+        return replace(self, bits=min(bits, 16), filters=none)._refilter(keys.withColumn("enters", F.lit(True)))
+
     def _changed(self, refs: DataFrame, counts: DataFrame) -> LineStore:
+        if self._frequent(counts).count() > 2 * self.shard_keys << self.bits and self.bits < 16:
+            return replace(self, refs=refs, counts=counts)._rebuilt()
         now, was = self._frequent(counts), self._frequent(self.counts)
         enter = now.join(was, ["hi", "lo"], "left_anti").withColumn("enters", F.lit(True))
         leave = was.join(now, ["hi", "lo"], "left_anti").withColumn("enters", F.lit(False))

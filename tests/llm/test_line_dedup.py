@@ -100,3 +100,17 @@ def test_query_on_null_and_empty_text(spark, tmp_path):
     frame(spark, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
     got = {(r["doc_id"], r["kept_sha256"]) for r in op9_line_dedup(spark, str(tmp_path)).collect()}
     assert (8, hashlib.sha256(b"").hexdigest()) in got
+
+
+def test_shards_grow_with_the_keys(spark):
+    lines = [(d, "\n".join(f"line number {k} that is long enough to be counted here" for k in range(40))) for d in range(6)]
+    docs = frame(spark, lines)
+    small = LineStore.build(docs.where("doc_id < 5"), bits=1, shard_keys=10)
+    assert small.bits == 2
+    more = frame(spark, [(d, "\n".join(f"another line {k} that is long enough to be counted here" for k in range(200))) for d in range(10, 16)])
+    grown = small.insert(docs.where("doc_id = 5")).insert(more)
+    assert grown.bits > small.bits
+    both = docs.unionByName(more)
+    want = sorted(map(repr, LineStore.build(both).dedup(both).collect()))
+    assert sorted(map(repr, grown.dedup(both).collect())) == want
+    assert sorted(map(repr, grown.dedup(both, broadcast_bytes=0).collect())) == want
