@@ -11,8 +11,8 @@ what ARC lacks: record identifiers (name-based, so that reruns agree), ISO times
 4. convert() streams each ARC file to a WARC file, with revisits as decided.
 5. read_warcs() parses the WARC files.
 
-Files are written by tasks under names of their own and count once the committed table of files lists them. Memory is
-bounded by the largest record and by a few bytes for each revisit in a file.
+Files are written by tasks under names of their own and count once the committed table of files lists them. A file ends at
+about ARCHIVE_BYTES, so memory is bounded by the largest record and by the revisits among one file's records.
 
 Defined cases: a null payload is empty; a null URL becomes unknown:/; a record without an id is always a response; of
 repeated ids with equal payloads one is the response and the others revisit it; an empty table gives no archives.
@@ -194,30 +194,34 @@ def _batches(rows: Iterator[dict], schema: pa.Schema, size: int = 4096) -> Itera
         yield pa.RecordBatch.from_pylist(held, schema)
 
 
-def write_arcs(pages: DataFrame, date: str = "20240101000000", page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """Packs pages into ARC files, version 1 and 2 in turn; returns the table of files."""
+#: A task goes on with a new archive from so many bytes on.
+ARCHIVE_BYTES = 1 << 30
+
+
+def write_arcs(pages: DataFrame, date: str = "20240101000000", page_id: str = "page_id", url: str = "url", html: str = "html", archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+    """Packs pages into ARC files of about archive_bytes at most, version 1 and 2 in turn; returns the table of files."""
     bound_batches(pages.sparkSession)
     folder = scratch(pages.sparkSession, "arcs")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        version, name = 1 + TaskContext.get().partitionId() % 2, f"{uuid.uuid4().hex}.arc.gz"
-        first = next((b for b in batches if b.num_rows), None)
-        if first is None:
-            return
-        n = at = 0
-        with writing(f"{folder}/{name}") as out:
-            write_arc_start(out, name, date, version)
-            for batch in (b for part in ([first], batches) for b in part):
-                for i in range(batch.num_rows):
-                    key, where, payload = (batch.column(c)[i].as_py() for c in range(3))
-                    payload = payload or b""
+        records = (tuple(batch.column(c)[i].as_py() for c in range(3)) for batch in batches for i in range(batch.num_rows))
+        held = next(records, None)
+        version = 1 + TaskContext.get().partitionId() % 2
+        while held is not None:
+            name, n, at = f"{uuid.uuid4().hex}.arc.gz", 0, 0
+            with writing(f"{folder}/{name}") as out:
+                write_arc_start(out, name, date, version)
+                while held is not None and at < archive_bytes:
+                    key, where, payload = held[0], held[1], held[2] or b""
                     mark = f"{ID_HEADER}: {key}\r\n" if key is not None else ""
                     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n{mark}\r\n"
                     at += write_arc_record(out, name, version, where, date, head.encode() + payload, at)
                     n += 1
-        yield pa.RecordBatch.from_pylist([{"uri": f"{folder}/{name}", "n_records": n}], _FILE_KIND)
+                    held = next(records, None)
+            yield pa.RecordBatch.from_pylist([{"uri": f"{folder}/{name}", "n_records": n}], _FILE_KIND)
+            version = 3 - version
 
     rows = pages.select(F.col(page_id).cast("long"), F.col(url), F.encode(F.col(html), "UTF-8"))
     return materialise(rows.mapInArrow(write, _FILES), "arc-files")

@@ -58,3 +58,12 @@ def test_archives_read_back(spark, least):
 
 def test_no_pages(spark):
     assert warc.read_warcs(warc.archive(spark.createDataFrame([], PAGES))).collect() == []
+
+
+def test_archives_end_at_their_size(spark):
+    rows = [(i, f"http://h/{i}", f"page {i} " * 50) for i in range(60)]
+    frame = spark.createDataFrame(rows, PAGES).coalesce(1)
+    arcs = warc.write_arcs(frame, archive_bytes=2000)
+    assert arcs.count() > 3
+    read = warc.read_warcs(warc.convert(arcs, warc.decide(warc.index_arcs(arcs)))).collect()
+    assert sorted(r["page_id"] for r in read) == list(range(60)) and {r["record_type"] for r in read} == {"response"}
