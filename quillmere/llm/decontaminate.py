@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmere.llm.exprs import ascii_lower, at, split_words, text_of
+from quillmere.llm.exprs import ascii_lower, at, packed, split_words, text_of, unpacked
 from quillmere.shared import materialise
 
 WINDOW = 13
@@ -110,11 +110,13 @@ def _covered(stretches: Column) -> Column:
 
 def find(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = WINDOW, shingle: int = SHINGLE, literals: int = LITERALS, broadcast_rows: int = BROADCAST_ROWS, keep: list[str] | None = None) -> DataFrame:
     """docs (or the columns to keep, which are written once) with n_words, n_hit, n_items (long), items (ids as strings, sorted) and contaminated (boolean)."""
-    docs = docs.drop(*ADDED, "_row", "_hits", "_words")
+    # the caller's columns travel in one, so that no name of theirs clashes with the steps'
+    names = [c for c in (keep or docs.columns) if c not in ADDED]
+    docs = docs.select(packed(names), F.col(f"`{text}`").alias("_text"))
     windows = materialise(windows_of(items, size, shingle, item_id, item_text), "windows", few=True)
     tokens = windows.select("w", "len", "items", F.explode("shingles").alias("s")).select("w", "len", "items", "s.o", "s.h")
     lengths = [r[0] for r in windows.select(F.least("len", F.lit(shingle)).alias("k")).distinct().orderBy("k").collect()] or [shingle]
-    places = _places(docs, text, keep or docs.columns, tokens.select("h").distinct(), lengths, size, literals)
+    places = _places(docs, "_text", ["_kept"], tokens.select("h").distinct(), lengths, size, literals)
     hits = places.select("_row", "n_words", F.explode("_hits").alias("p")).select("_row", "n_words", "p.*")
     counts = hits.groupBy("h").agg(F.count("*").alias("freq"))
     rarest = tokens.join(counts, "h", "left").groupBy("w").agg(
@@ -129,6 +131,7 @@ def find(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "
     found = hits.join(prefixes, "h").where(inside).where(same).select("_row", F.struct(start.alias("start"), F.col("len").alias("len")).alias("s"), "items")
     found = found.groupBy("_row").agg(F.array_sort(F.collect_set("s")).alias("s"), F.collect_set("items").alias("i"))
     found = found.select("_row", _covered(F.col("s")).alias("n_hit"), F.array_sort(F.transform(F.array_distinct(F.flatten("i")), lambda x: x.cast("string"))).alias("items"))
-    out = places.drop("_hits").join(found, "_row", "left").drop("_row")
-    out = out.withColumns({"n_hit": F.coalesce("n_hit", F.lit(0)).cast("long"), "items": F.coalesce("items", F.array().cast("array<string>"))})
+    out = places.drop("_hits").join(found, "_row", "left")
+    out = out.select("_kept", "n_words", "n_hit", "items").withColumns({"n_hit": F.coalesce("n_hit", F.lit(0)).cast("long"), "items": F.coalesce("items", F.array().cast("array<string>"))})
+    out = out.select(*unpacked(names), "n_words", "n_hit", "items")
     return out.withColumns({"n_items": F.size("items").cast("long"), "contaminated": (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))})

@@ -30,6 +30,15 @@ def space_words(text: Column) -> Column:
     return split_words(text, "[\\t-\\r ]")
 
 
+def packed(names: list[str]) -> Column:
+    """The caller's columns as one, _kept, so that no name of theirs clashes with those of an operator's steps."""
+    return F.struct(*([F.col(f"`{c}`") for c in names] or [F.lit(0)])).alias("_kept")
+
+
+def unpacked(names: list[str]) -> list[Column]:
+    return [F.col("_kept").getField(c).alias(c) for c in names]
+
+
 def at(array: Column, index: Column) -> Column:
     """Element by position from 0; null beyond the ends."""
     return F.get(array, index)

@@ -3,8 +3,8 @@
 Within a source every document expects target / source size copies. The documents stand in order of size, so that the
 sample is spread over all sizes; the expected copies are summed up along that order, one random offset is added, and a
 document is emitted once for each integer that its stretch of the sum crosses. A source's taken words then differ from its
-target by about one document. The order is global and the offset comes from a seed, so reruns, and other partitionings,
-agree.
+target by about one document. The order is global (ties go by a hash of the whole row) and the offset comes from a seed, so
+reruns, and other partitionings, agree.
 
 Sources are ranked, and their targets filled up, without gathering them: only two sums per round reach the driver. The
 rows go through one range exchange and are written once; a source that holds most rows spreads over many ranges.
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmere.llm.exprs import space_words, text_of
+from quillmere.llm.exprs import packed, space_words, text_of, unpacked
 from quillmere.operators.ranks import ranged, with_rank
 from quillmere.shared import materialise
 
@@ -55,15 +55,18 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
 def mix(df: DataFrame, size: Column, source: str = "source", tie: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, seed: str = "mix") -> DataFrame:
     """df with size, source_size, target (of its source, in words) and copies (long, 0 to most)."""
     key = F.when(F.col(source).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(source)))
-    rows = df.withColumns({"_key": key, "_size": size}).drop(*ADDED).withColumnRenamed("_size", "size")
-    placed = ranged(rows, [F.col("_key"), F.col("size"), F.col(tie)], "mix")
+    names = [c for c in df.columns if c not in ADDED]
+    # the caller's columns travel in one, so that no name of theirs clashes; rows that tie in all else are equal
+    kept = packed(names)
+    rows = df.select(kept, key.alias("_key"), size.alias("size"), F.col(tie).alias("_tie"), F.xxhash64(*(F.col(f"`{c}`") for c, kind in df.dtypes if c in names and "map<" not in kind)).alias("_hash"))
+    placed = ranged(rows, [F.col("_key"), F.col("size"), F.col("_tie"), F.col("_hash")], "mix")
     goal = targets(placed.groupBy("_key").agg(F.sum("size").alias("source_size")), weights, most)
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.col("_key"))), 1, 3), 16, 10).cast("double") / 4096.0
     goal = goal.select("_key", "source_size", "target", offset.alias("_offset"), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias("_each"))
     ranks = with_rank(placed, "_rank", "_key").join(goal, "_key")
     reached = lambda rank: F.floor(F.col("_each") * rank + F.col("_offset"))
     copies = (reached(F.col("_rank") + 1) - reached(F.col("_rank"))).cast("long")
-    return ranks.withColumn("copies", copies).drop("_key", "_rank", "_offset", "_each")
+    return ranks.select(*unpacked(names), "size", "source_size", "target", copies.alias("copies"))
 
 
 def emit(mixed: DataFrame, columns: list[str]) -> DataFrame:

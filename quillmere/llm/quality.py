@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmere.llm.exprs import at, space_words, text_of
+from quillmere.llm.exprs import at, packed, space_words, text_of, unpacked
 
 #: The characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -69,18 +69,20 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
     longs brings equal windows together. What is equal there is compared word by word, which makes the result exact; the
     words that the confirmed windows cover are counted from the gaps between their starts.
     """
-    kept = [c for c in df.columns if c not in MEASURES]
+    # the caller's columns travel in one, so that no name of theirs clashes with the steps'
+    names = [c for c in df.columns if c not in MEASURES]
+    kept = ["_kept"]
     body, words, n = F.col("_qm_text"), F.col("_qm_words"), F.col("_qm_n")
-    step = df.select(*kept, text_of(F.col(text)).alias("_qm_text"))
+    step = df.select(packed(names), text_of(F.col(f"`{text}`")).alias("_qm_text"))
     step = step.select(*kept, body, space_words(body).alias("_qm_words"), F.filter(F.split(body, "\n"), lambda line: line.rlike("[^\\t-\\r ]")).alias("_qm_lines"))
     step = step.select(*kept, body, words, "_qm_lines", F.size(words).alias("_qm_n"))
     low = F.expr("shiftleft(1L, cast(ceil(log2(_qm_n + 1)) as int)) - 1L")
     step = step.select("*", low.alias("_qm_low"))
-    packed = F.when(
+    sorted_ = F.when(
         n >= 4,
         F.sort_array(F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(at(words, i), at(words, i + 1), at(words, i + 2)).bitwiseAND(F.bitwise_not(F.col("_qm_low"))).bitwiseOR(i.cast("long")))),
     )
-    step = step.select("*", packed.alias("_qm_packed"))
+    step = step.select("*", sorted_.alias("_qm_packed"))
     keys, position = F.col("_qm_packed"), F.col("_qm_low")
     same = lambda a, b: F.coalesce(a.bitwiseXOR(b) <= position, F.lit(False)) & F.coalesce(a.bitwiseXOR(b) >= 0, F.lit(False))
     suspects = F.filter(keys, lambda x, i: same(x, at(keys, i - 1)) | same(x, at(keys, i + 1)))
@@ -94,7 +96,7 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
     first = F.col("_qm_starts")
     gaps = F.aggregate(F.transform(first, lambda p, i: F.least(F.lit(3), F.coalesce(at(first, i + 1) - p, F.lit(3)))), F.lit(0), lambda a, x: a + x)
     return step.select(
-        *kept,
+        *unpacked(names),
         n.cast("long").alias("n_words"),
         F.length(F.concat_ws("", words)).cast("long").alias("word_chars"),
         (F.length(body) - F.length(_without(body, SYMBOLS))).cast("long").alias("n_symbols"),

@@ -48,3 +48,10 @@ def test_empty_tables_and_clashing_columns(spark):
     assert decontaminate.find(docs(spark, []), some).collect() == []
     got = decontaminate.find(frame, some)
     assert dict(got.dtypes)["items"] == "array<string>" and sorted(r["n_hit"] for r in got.collect()) == [0, 3]
+
+
+def test_names_of_the_steps_may_clash(spark):
+    items = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(20)))], "item_id long, text string")
+    table = docs(spark, [(1, "x " + " ".join(f"w{i}" for i in range(13)), None), (2, None, None)]).withColumns({c: F.lit(c) for c in ("_at5", "_row", "_hits", "_words", "_kept", "_text", "n_hit")})
+    got = {r["doc_id"]: r for r in decontaminate.find(table, items).collect()}
+    assert got[1]["n_hit"] == 13 and got[2]["n_hit"] == 0 and all(got[1][c] == c for c in ("_at5", "_row", "_hits", "_words", "_kept", "_text"))

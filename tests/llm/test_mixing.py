@@ -53,3 +53,13 @@ def test_one_source_no_words_and_no_rows(spark):
     none = mixing.mix(docs(spark, [(1, None, None), (1, None, None)]), mixing.n_words(F.col("text"))).collect()
     assert [(r["copies"], r["target"]) for r in none] == [(0, 0.0)] * 2
     assert mixing.mix(docs(spark, []), mixing.n_words(F.col("text"))).collect() == []
+
+
+def test_other_columns_may_clash_and_ties_are_settled(spark):
+    table = docs(spark, [(None, f"a{i} b", "s") for i in range(40)] + [(None, "c d", "t")] * 3).withColumns({"_key": F.lit("k"), "_place": F.lit(1), "_range": F.lit(2), "_kept": F.lit(3), "copies": F.lit("x")})
+    size = mixing.n_words(F.col("text"))
+    one = mixing.mix(table, size)
+    assert one.columns == [c for c in table.columns if c != "copies"] + ["size", "source_size", "target", "copies"]
+    again = mixing.mix(table.repartition(5, "text"), size)
+    assert sorted(map(repr, one.collect())) == sorted(map(repr, again.collect()))
+    assert {(r["_key"], r["_place"], r["_range"], r["_kept"]) for r in one.collect()} == {("k", 1, 2, 3)}

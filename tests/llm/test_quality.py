@@ -60,3 +60,9 @@ def test_empty_tables_and_clashing_columns(spark, rows):
     got = quality.decide(quality.ledger(frame))
     assert got.count() == len(rows)
     assert dict(got.dtypes)["n_words"] == "bigint" and "extra" in got.columns and len(set(got.columns)) == len(got.columns)
+
+
+def test_names_of_the_steps_may_clash(spark):
+    table = docs(spark, [(1, "a b c", None)]).withColumns({c: F.lit(c) for c in ("_qm_words", "_qm_n", "_qm_text", "_kept", "fail_bits", "n_words")})
+    row = quality.ledger(table).first()
+    assert row["n_words"] == 3 and all(row[c] == c for c in ("_qm_words", "_qm_n", "_qm_text", "_kept"))
