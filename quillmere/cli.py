@@ -1,4 +1,4 @@
-"""Command line: build, update, search, explain, stats, verify, repl, serve and mcp. Exit codes 0, 1 (failed), 2 (usage)."""
+"""Command line: build, update, search, explain, stats, verify, prepare, repl, serve and mcp. Exit codes 0, 1 (failed), 2 (usage)."""
 
 from __future__ import annotations
 
@@ -15,7 +15,7 @@ from quillmere.sources.snapshot import Snapshot
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="quillmere")
     verbs = parser.add_subparsers(dest="verb", required=True)
-    for verb, names in (("build", ("source", "root")), ("update", ("root", "batch")), ("search", ("root", "query")), ("explain", ("root", "query")), ("stats", ("root",)), ("verify", ("root",)), ("repl", ("root",)), ("serve", ("root",)), ("mcp", ("root",))):
+    for verb, names in (("build", ("source", "root")), ("update", ("root", "batch")), ("search", ("root", "query")), ("explain", ("root", "query")), ("stats", ("root",)), ("verify", ("root",)), ("prepare", ("root",)), ("repl", ("root",)), ("serve", ("root",)), ("mcp", ("root",))):
         sub = verbs.add_parser(verb)
         for name in names:
             sub.add_argument(name)
@@ -46,6 +46,8 @@ def main(argv: list[str] | None = None) -> int:
                 tools(table)
             case "verify":
                 table.verify()
+            case "prepare":
+                table.prepare()
             case "repl":
                 for line in sys.stdin:
                     try:

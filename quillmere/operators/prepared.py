@@ -17,6 +17,7 @@ from quillmere.operators import search as searching
 from quillmere.plans import binder as b
 from quillmere.plans.compiler import Views, quoted, scored_terms
 from quillmere.plans.parser import parse
+from quillmere.shared import read_bytes, remove, writing
 
 #: Candidate rows are broadcast up to this number, else joined by shuffle.
 BROADCAST_ROWS = 500_000
@@ -37,6 +38,7 @@ class Index:
     @classmethod
     def build(cls, table: searching.Table, path: str) -> Index:
         spark, views = table.frame.sparkSession, Views()
+        remove(spark, f"{path}/READY")
         names = [f.name for f in table.schema.fields if f.type == "TEXT" and f.name != "_id"]
         # analysis is the work here: a table of few splits is dealt out to all cores first
         cores = spark.sparkContext.defaultParallelism
@@ -62,6 +64,17 @@ class Index:
         posted = spark.read.parquet(f"{path}/postings")
         terms = posted.groupBy("field", "term").agg(F.count("*").alias("holding"), F.sum("tf").alias("occurrences"))
         terms.repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.mode("overwrite").parquet(f"{path}/terms")
+        with writing(f"{path}/READY") as out:  # an index without it is not whole
+            out.write(b"1")
+        return cls.open(table, path)
+
+    @classmethod
+    def find(cls, table: searching.Table, path: str) -> Index | None:
+        """The index in this folder, if a whole one is there."""
+        try:
+            read_bytes(f"{path}/READY")
+        except FileNotFoundError:
+            return None
         return cls.open(table, path)
 
     @classmethod

@@ -63,12 +63,21 @@ class Result:
     scored: DataFrame  # every match with its score, in no order and without LIMIT and OFFSET
     mode: str
     seconds: float = 0.0
+    looked_at: DataFrame | None = None  # the rows that the condition was put to
 
     @cached_property
     def total(self) -> int:
         """All rows that match, before LIMIT and OFFSET."""
         return self.matched.count()
 
+    def counters(self) -> dict[str, int]:
+        """What the search went through: rows that the condition was put to (those a prepared index left), rows that match,
+        and how many of these have a lexical score and a vector's."""
+        if self.mode == "explain" or self.looked_at is None:
+            return {"rows_scanned": 0, "matched": 0, "lexical_scored": 0, "vectors_scored": 0}
+        row = self.matched.agg(F.count("*"), F.count_if(F.col("_lexical") > 0), F.count_if(F.col("_active"))).first()
+        return {"rows_scanned": self.looked_at.count(), "matched": row[0], "lexical_scored": row[1], "vectors_scored": row[2]}
+
     def rows(self) -> list:
         return self.hits.collect()
 
@@ -79,7 +88,7 @@ class Result:
         """Hits and an execution block, scores with 17 digits."""
         rows = self.rows()
         hits = [f'{{"_id":{json.dumps(r["_id"], ensure_ascii=False)},"row":{r["_row"]},"score":{r["score"]:.17g},"document":{r["document"] or "null"}}}' for r in rows]
-        execution = {"total": self.total, "count": len(rows), "mode": self.mode, "lexical": self.plan.lexical, "vector": self.plan.vector}
+        execution = {"total": self.total, "count": len(rows), "mode": self.mode, "lexical": self.plan.lexical, "vector": self.plan.vector, **self.counters()}
         return f'{{"hits":[{",".join(hits)}],"execution":{json.dumps(execution)}}}'
 
 
@@ -143,11 +152,11 @@ def search(table: Table, query: str, max_hits: int = 1000, k1: float = 1.2, b_:
         # documents are fetched for the page alone
         page = page.select("_id", "_row", "score", *map(quoted, dict.fromkeys(sorted_by)))
         hits = page.join(rows.select(F.col("_row"), document.alias("document")), "_row").orderBy(*order_of(plan)).select("_id", "_row", "score", "document")
-        return Result(hits, plan, narrow, ranked, mode, time.time() - start)
+        return Result(hits, plan, narrow, ranked, mode, time.time() - start, rows)
     matched = matching(table, plan, compiled, rows, [F.col("_id"), F.col("_row"), document.alias("document"), *map(quoted, dict.fromkeys(sorted_by))])
     scored = matched.withColumn("score", F.col("_vector") if plan.vector and not plan.lexical else F.col("_lexical"))
     hits = scored.orderBy(*order_of(plan)).offset(plan.offset).limit(plan.limit).select("_id", "_row", "score", "document")
-    return Result(hits, plan, matched, scored, mode, time.time() - start)
+    return Result(hits, plan, matched, scored, mode, time.time() - start, rows)
 
 
 def facet(table: Table, query: str, now: int | None = None) -> dict[str, DataFrame]:

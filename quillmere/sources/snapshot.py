@@ -50,11 +50,20 @@ def write_lock(root: str) -> Iterator[None]:
         yield
 
 
+def data_files(folder: str) -> tuple[tuple[str, int], ...]:
+    from pyarrow import fs
+
+    filesystem, path = _filesystem(folder)
+    found = filesystem.get_file_info(fs.FileSelector(path, allow_not_found=True))
+    return tuple(sorted((i.base_name, i.size) for i in found if i.base_name.endswith(".parquet")))
+
+
 @dataclass(frozen=True)
 class Manifest:
     version: int
     rows: int
     fields: tuple[Field, ...]
+    files: tuple[tuple[str, int], ...] = ()  # name and bytes of each data file
 
     @classmethod
     def read(cls, root: str) -> Manifest:
@@ -62,7 +71,13 @@ class Manifest:
             data = json.loads(read_bytes(f"{root}/CURRENT"))
         except FileNotFoundError:
             raise errors.NotFound(f"no snapshot in {root}") from None
-        return cls(data["version"], data["rows"], tuple(Field(**f) for f in data["fields"]))
+        return cls(data["version"], data["rows"], tuple(Field(**f) for f in data["fields"]), tuple((n, size) for n, size in data.get("files", ())))
+
+    def check(self, root: str) -> None:
+        """That the version's files are those that were published. Reads no data."""
+        if self.files and (now := data_files(f"{root}/v={self.version:06d}")) != self.files:
+            lost = sorted(set(self.files) - set(now))
+            raise errors.QuillmereError(f"the snapshot is damaged: {lost[0][0] if lost else 'a file that it does not know'}")
 
     def publish(self, root: str) -> None:
         mark = f"{root}/.CURRENT-{uuid.uuid4().hex}"
@@ -81,7 +96,7 @@ class Snapshot:
         self.schema = Schema(manifest.fields)
         self.frame = spark.read.schema(jsonl.spark_schema(self.schema)).parquet(self._path(manifest.version))
         self.table = searching.Table(self.frame, self.schema)
-        self.index: Index | None = None
+        self.index: Index | None = Index.find(self.table, f"{self._path(manifest.version)}.index")
 
     def _path(self, version: int) -> str:
         return f"{self.root}/v={version:06d}"
@@ -89,7 +104,9 @@ class Snapshot:
     @classmethod
     def open(cls, spark: SparkSession, root: str) -> Snapshot:
         root = _uri(root)
-        return cls(spark, root, Manifest.read(root))
+        manifest = Manifest.read(root)
+        manifest.check(root)
+        return cls(spark, root, manifest)
 
     @classmethod
     def build(cls, spark: SparkSession, source: str, root: str) -> Snapshot:
@@ -110,7 +127,7 @@ class Snapshot:
         except errors.NotFound:
             version = 1
         jsonl.columns(lines, schema).write.mode("overwrite").parquet(f"{root}/v={version:06d}")
-        manifest = Manifest(version, lines.count(), schema.fields)
+        manifest = Manifest(version, lines.count(), schema.fields, data_files(f"{root}/v={version:06d}"))
         manifest.publish(root)
         return cls(spark, root, manifest)
 
@@ -125,7 +142,10 @@ class Snapshot:
     def explain(self, query: str, **options) -> str:
         """What a query binds to and the plan it makes; no row is read but for statistics."""
         result = self.search("EXPLAIN " + query if not query.lstrip().startswith("EXPLAIN") else query, **options)
-        return f"{result.plan}\n"
+        if result.plan.statement.mode != "EXPLAIN ANALYZE":
+            return f"{result.plan}\n"
+        count = len(result.rows())
+        return f"{result.plan}\n{json.dumps({'mode': result.mode, 'hits': count, 'seconds': round(result.seconds, 3), **result.counters()})}\n"
 
     def stats(self) -> dict:
         fields = [{"name": f.name, "type": f.type, **({"dimensions": f.dims} if f.dims else {})} for f in self.schema.fields]
