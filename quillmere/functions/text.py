@@ -57,6 +57,19 @@ def has_term(spell: Column, token: str) -> Column:
     return F.contains(spell, F.lit(f" {token} "))
 
 
+def may_hold(raw: Column, words: list[str]) -> Column:
+    """False only if the normalised text cannot hold all of these normalised words. lower() folds more than normalisation,
+    which does no harm to words that it leaves alone; texts with full-width forms or ideographic spaces always may."""
+    lower, data = F.lower(raw), raw.cast("binary")
+    out = F.lit(True)
+    for w in words:
+        if w and w == w.lower():
+            out = out & F.contains(lower, F.lit(w))
+    for start in (b"\xef\xbc", b"\xef\xbd", b"\xe3\x80\x80"):
+        out = out | F.contains(data, F.lit(bytearray(start)))
+    return out
+
+
 def has_phrase(spell: Column, tokens: list[str]) -> Column:
     return F.contains(spell, F.lit(f" {'  '.join(tokens)} "))
 

@@ -19,8 +19,13 @@ from quillmere.plans.compiler import Views, quoted, scored_terms
 from quillmere.plans.parser import parse
 from quillmere.shared import read_bytes, remove, writing
 
+#: Up to so many candidate rows are looked up by their numbers: the columns are sorted by them, so that row groups and
+#: pages without one are skipped.
+LOOKUP_ROWS = 2_000
 #: Candidate rows are broadcast up to this number, else joined by shuffle.
 BROADCAST_ROWS = 500_000
+#: Bytes of a row group of the columns.
+ROW_GROUP = 8 << 20
 
 
 def _trigrams(norm):
@@ -46,7 +51,8 @@ class Index:
         added = {}
         for n in names:
             added |= {f"_norm_{n}": views.norm(n), f"_spell_{n}": views.spell(n), f"_length_{n}": views.length(n)}
-        frame.withColumns(added).write.mode("overwrite").parquet(f"{path}/columns")
+        frame = frame.withColumns(added).sortWithinPartitions("_row")
+        frame.write.mode("overwrite").option("parquet.block.size", ROW_GROUP).parquet(f"{path}/columns")
         stored = spark.read.parquet(f"{path}/columns")
         postings = trigrams = None
         for n in names:
@@ -96,8 +102,8 @@ class Index:
                 found = {r["term"]: r["holding"] for r in self.terms.where((F.col("field") == name) & F.col("term").isin(new)).collect()}
                 self.table.known.update({(name, t): (found.get(t, 0), 0) for t in new})
 
-    def candidates(self, root: b.Bound | None) -> DataFrame | None:
-        """Rows (_row) outside of which nothing can match; None if the query gives no list to go by."""
+    def candidates(self, root: b.Bound | None) -> tuple[DataFrame, int] | None:
+        """Rows (_row) outside of which nothing can match, and their number; None if the query gives no list to go by."""
         tests = [root] if isinstance(root, b.Leaf) else list(root.kids) if isinstance(root, b.Branch) and root.kind == "and" else []
         lists: list[tuple[str, str, str]] = []
         for n in tests:
@@ -110,7 +116,7 @@ class Index:
         if terms:
             self._learn({f: {t for _, g, t in terms if g == f} for _, f, _ in terms})
             _, field, term = min(terms, key=lambda x: self.table.known[x[1], x[2]][0])
-            return self.postings.where((F.col("field") == field) & (F.col("term") == term)).select("_row")
+            return self.postings.where((F.col("field") == field) & (F.col("term") == term)).select("_row"), self.table.known[field, term][0]
         if lists:
             wanted = {(f, g) for _, f, g in lists}
             match = None
@@ -119,7 +125,7 @@ class Index:
                 match = one if match is None else match | one
             sizes = {(r["field"], r["gram"]): r["count"] for r in self.trigrams.where(match).groupBy("field", "gram").count().collect()}
             field, gram = min(sorted(wanted), key=lambda x: sizes.get(x, 0))
-            return self.trigrams.where((F.col("field") == field) & (F.col("gram") == gram)).select("_row")
+            return self.trigrams.where((F.col("field") == field) & (F.col("gram") == gram)).select("_row"), sizes.get((field, gram), 0)
         return None
 
     def search(self, query: str, max_hits: int = 1000, now: int | None = None, **options) -> searching.Result:
@@ -128,9 +134,15 @@ class Index:
         frame, mode = None, "prepared"
         if plan.statement.mode != "EXPLAIN":
             self._learn(scored_terms(plan.root, self.table.schema))
-            rows = self.candidates(plan.root)
-            if rows is not None:
-                if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-                    rows = F.broadcast(rows)
-                frame, mode = self.table.frame.join(rows, "_row", "left_semi"), "postings"
+            found = self.candidates(plan.root)
+            if found is not None:
+                rows, n = found
+                mode, frame = "postings", self.table.frame
+                if n <= LOOKUP_ROWS:
+                    # n is exact, so this is bounded
+                    numbers = sorted(r[0] for r in rows.collect())
+                    self.table.frame.sparkSession.conf.set("spark.sql.parquet.pushdown.inFilterThreshold", LOOKUP_ROWS)
+                    frame = frame.where(F.col("_row").isin(numbers)) if numbers else frame.limit(0)
+                else:
+                    frame = frame.join(F.broadcast(rows) if n <= BROADCAST_ROWS else rows, "_row", "left_semi")
         return searching.search(self.table, query, max_hits, now=now, frame=frame, mode=mode, **options)

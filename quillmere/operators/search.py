@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quillmere.errors import QuillmereError
 from quillmere.operators.ranks import ranged, with_rank
 from quillmere.plans import binder as b
-from quillmere.plans.compiler import Compiled, Compiler, Stats, Views, quoted, scored_terms
+from quillmere.plans.compiler import Compiled, Compiler, Stats, Views, analysed, quoted, scored_terms, with_views
 from quillmere.plans.parser import Limits, parse
 
 #: What the engine accepts of a query.
@@ -31,12 +31,25 @@ class Table:
     stored: frozenset[str] = frozenset()  # text fields with analysed columns
     known: dict[tuple[str, str | None], tuple[int, int]] = field(default_factory=dict)
 
+    @cached_property
+    def splits(self) -> int:
+        return self.frame.rdd.getNumPartitions()
+
+    def spread(self, frame: DataFrame) -> DataFrame:
+        """A table of fewer splits than there are cores is dealt out before its texts are analysed; one of more never is."""
+        cores = self.frame.sparkSession.sparkContext.defaultParallelism
+        return frame.repartition(cores, "_row") if self.splits < cores else frame
+
     def stats(self, wanted: dict[str, set[str]]) -> dict[str, Stats]:
         """Corpus statistics of the whole table, whatever a query filters. One job for all that is not known yet; they stay
         valid because a table does not change."""
-        views, exprs, names = Views(self.stored), [], []
+        views, exprs, names = Views(self.stored | frozenset(wanted)), [], []
         from quillmere.functions import text
 
+        new = {n for n in wanted if n not in self.stored}
+        frame = self.frame.select("_row", *map(quoted, new | {f"_{form}_{n}" for n in wanted if n in self.stored for form in ("spell", "length")}))
+        frame = with_views(self.spread(frame) if new else frame, {n: {"spell", "length"} for n in wanted if n not in self.stored})
+
         for name, tokens in wanted.items():
             length, spell = views.length(name), views.spell(name)
             if (name, None) not in self.known:
@@ -47,7 +60,7 @@ class Table:
                     names.append((name, token))
                     exprs += [F.count_if(text.has_term(spell, token)), F.lit(0)]
         if exprs:
-            row = self.frame.agg(*(e.alias(f"x{i}") for i, e in enumerate(exprs))).first()
+            row = frame.agg(*(e.alias(f"x{i}") for i, e in enumerate(exprs))).first()
             for i, key in enumerate(names):
                 self.known[key] = (row[2 * i] or 0, row[2 * i + 1] or 0)
         return {n: Stats(*self.known[n, None], {t: self.known[n, t][0] for t in tokens}) for n, tokens in wanted.items()}
@@ -118,13 +131,27 @@ def fused(matched: DataFrame, few: bool) -> DataFrame:
     return ranks.withColumn("score", part("_lr") + part("_vr"))
 
 
+def compiled_of(table: Table, plan: b.Plan, stats: dict[str, Stats], k1: float = 1.2, b_: float = 0.75) -> Compiled | None:
+    if plan.root is None:
+        return None
+    return Compiler(table.schema, Views(table.stored | frozenset(analysed(plan.root, table.schema))), stats, k1, b_).node(plan.root)
+
+
 def matching(table: Table, plan: b.Plan, compiled: Compiled | None, frame: DataFrame, keep: list[Column]) -> DataFrame:
     """Rows that match, with _lexical, _vector, _active and what is kept of them."""
     zero = F.lit(0.0)
     if compiled is None:
         return frame.select(*keep, zero.alias("_lexical"), zero.alias("_vector"), F.lit(False).alias("_active"))
     pick = lambda c, other: other if c is None else c
-    return frame.where(compiled.match).select(*keep, pick(compiled.lexical, zero).alias("_lexical"), pick(compiled.vector, zero).alias("_vector"), pick(compiled.active, F.lit(False)).alias("_active"))
+    wanted = {n: forms for n, forms in analysed(plan.root, table.schema).items() if n not in table.stored}
+    match = compiled.match
+    if wanted:
+        # what needs no analysis goes first, down to the scan; the number, not deterministic, keeps the rest above the
+        # analysed columns, which would be unfolded into every use of them otherwise
+        frame = table.spread(frame.where(compiled.pre) if compiled.pre is not None else frame)
+        frame = with_views(frame.withColumn("_above", F.monotonically_increasing_id()), wanted)
+        match = (F.col("_above") >= 0) & match
+    return frame.where(match).select(*keep, pick(compiled.lexical, zero).alias("_lexical"), pick(compiled.vector, zero).alias("_vector"), pick(compiled.active, F.lit(False)).alias("_active"))
 
 
 def search(table: Table, query: str, max_hits: int = 1000, k1: float = 1.2, b_: float = 0.75, now: int | None = None, frame: DataFrame | None = None, mode: str = "scan", few: bool | None = None) -> Result:
@@ -140,7 +167,7 @@ def search(table: Table, query: str, max_hits: int = 1000, k1: float = 1.2, b_:
         empty = rows.limit(0).select("_id", "_row", F.lit(0.0).alias("score"), F.lit(None).cast("string").alias("document"))
         return Result(empty, plan, empty, empty, "explain")
     stats = table.stats(scored_terms(plan.root, table.schema))
-    compiled = Compiler(table.schema, Views(table.stored), stats, k1, b_).node(plan.root) if plan.root is not None else None
+    compiled = compiled_of(table, plan, stats, k1, b_)
     sorted_by = [n for n, _ in plan.sort if n not in ("_score", "_id")]
     document = F.col("_doc") if "_doc" in rows.columns else F.lit(None).cast("string")
     if plan.lexical and plan.vector:
@@ -162,6 +189,6 @@ def search(table: Table, query: str, max_hits: int = 1000, k1: float = 1.2, b_:
 def facet(table: Table, query: str, now: int | None = None) -> dict[str, DataFrame]:
     """FACET f, ...: values of the fields among all matching rows by frequency. An extension of the language."""
     plan = b.bind(parse(query, LIMITS), table.schema, int(time.time()) if now is None else now, facets=True)
-    compiled = Compiler(table.schema, Views(table.stored), table.stats(scored_terms(plan.root, table.schema))).node(plan.root) if plan.root is not None else None
-    rows = table.frame.where(compiled.match) if compiled else table.frame
+    compiled = compiled_of(table, plan, table.stats(scored_terms(plan.root, table.schema)))
+    rows = matching(table, plan, compiled, table.frame, [quoted(n) for n in dict.fromkeys(plan.statement.facets)])
     return {n: rows.groupBy(quoted(n).alias("value")).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), F.col("value").asc_nulls_last()) for n in plan.statement.facets}
