@@ -6,13 +6,15 @@ import argparse
 import json
 import sys
 
+from pyspark.sql import SparkSession
+
 from quillmere.errors import QuillmereError
 from quillmere.server import http_server, tools
 from quillmere.session import local_session
 from quillmere.sources.snapshot import Snapshot
 
 
-def main(argv: list[str] | None = None) -> int:
+def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     parser = argparse.ArgumentParser(prog="quillmere")
     verbs = parser.add_subparsers(dest="verb", required=True)
     for verb, names in (("build", ("source", "root")), ("update", ("root", "batch")), ("search", ("root", "query")), ("explain", ("root", "query")), ("stats", ("root",)), ("verify", ("root",)), ("prepare", ("root",)), ("repl", ("root",)), ("serve", ("root",)), ("mcp", ("root",))):
@@ -25,7 +27,15 @@ def main(argv: list[str] | None = None) -> int:
         if verb == "serve":
             sub.add_argument("--port", type=int, default=8080)
     args = parser.parse_args(argv)
-    spark = local_session(shuffle_partitions=4)
+    return _run(spark or local_session(shuffle_partitions=4), args)
+
+
+def run(spark: SparkSession, argv: list[str]) -> int:
+    """The command line on a session that is there."""
+    return main(argv, spark)
+
+
+def _run(spark: SparkSession, args: argparse.Namespace) -> int:
     try:
         if args.verb == "build":
             print(json.dumps(Snapshot.build(spark, args.source, args.root).stats()))
