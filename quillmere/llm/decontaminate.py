@@ -5,15 +5,16 @@ of the window's shingles (5 words, or the whole of a shorter window), so one shi
 and the rarest in the corpus is the best one.
 
 1. Items are cut into distinct windows, and these into shingles.
-2. One pass over the documents finds the places where any shingle of a window stands, and writes them with the few words
-   around. Nothing else of the documents is needed later.
-3. These places give each shingle's frequency over all documents. A window takes its rarest shingle; one with a shingle
-   that stands nowhere is out.
-4. Places are joined with windows by that shingle alone. What would reach beyond the document's ends is out (length and
-   position); the rest is compared word by word with the window. Confirmed windows become stretches of hit words.
+2. One pass over the documents counts how often each of these shingles occurs in them; only the counts are shuffled.
+3. A window takes its rarest shingle as its prefix; one with a shingle that occurs nowhere is out. Shingles that are common
+   in the corpus are no prefix of anything, and most windows of items that no document holds are gone.
+4. A second pass probes the documents with the prefixes alone and writes the places with the few words around.
+5. Places are joined with windows by the prefix. What would reach beyond the document's ends is out (length and position);
+   the rest is compared word by word with the window. Confirmed windows become stretches of hit words.
 
-In step 2 the shingles are literals of the query up to LITERALS; above, the documents' shingles are joined with them by
-hash. In step 4 windows are broadcast up to BROADCAST_ROWS, else joined by shuffle, where Spark splits hot shingles.
+In both passes the shingles looked for are literals of the query up to LITERALS. Above, the documents' shingles meet them in
+a join by hash: rounds of BROADCAST_ROWS, each broadcast, for the counts. In step 5 windows are broadcast up to
+BROADCAST_ROWS, else joined by shuffle, where Spark splits hot shingles.
 
 Everything is built-in expressions. Defined cases: a null text has no words; a null item_id is kept as an item but cannot
 be named in items; items with equal windows are all named; repeated documents are judged one by one; empty tables give no
@@ -57,44 +58,60 @@ def windows_of(items: DataFrame, size: int, shingle: int, item_id: str = "item_i
     return each.select(F.concat_ws(" ", "words").alias("w"), n.alias("len"), "items", hashes.alias("shingles"))
 
 
-def _places(docs: DataFrame, text: str, keep: list[str], hashes: DataFrame, lengths: list[int], size: int, literals: int) -> DataFrame:
-    """The columns to keep, _row, n_words and _hits: (pos, h, from, around) for each place of a wanted shingle; written."""
-    kept = [F.col(f"`{c}`") for c in keep]
-    words = docs.withColumn("_words", words_of(F.col(text)))
+def _literals(hashes: DataFrame) -> str:
+    """Hashes, of a number that was checked, as SQL."""
+    return ", ".join(f"{r['h']}L" if r["h"] != -(1 << 63) else "bigint('-9223372036854775808')" for r in hashes.select("h").collect()) or "NULL"
+
+
+def _hashed(k: int) -> str:
+    return f"xxhash64({k}, {', '.join(f'get(_words, i + {j})' for j in range(k))})"
+
+
+def _shingles(k: int) -> Column:
+    """(k, pos, h) of all shingles of k words."""
+    n = F.size("_words")
+    each = F.transform(F.sequence(F.lit(0), F.greatest(n - k, F.lit(0))), lambda i: F.struct(F.lit(k).alias("k"), i.alias("pos"), _hash(F.col("_words"), i, k).alias("h")))
+    return F.when(n >= k, each).otherwise(F.array().cast("array<struct<k:int,pos:int,h:bigint>>"))
+
+
+def frequencies(words: DataFrame, hashes: DataFrame, lengths: list[int], literals: int, broadcast_rows: int) -> DataFrame:
+    """(h, freq): how often these shingles occur in all documents (_words); written."""
+    many = hashes.count()
+    if many <= literals:
+        wanted = _literals(hashes)
+        found = [F.expr(f"CASE WHEN size(_words) >= {k} THEN filter(transform(sequence(0, size(_words) - {k}), i -> {_hashed(k)}), h -> h IN ({wanted})) ELSE array() END") for k in lengths]
+        each = words.select(F.explode(F.concat(*found)).alias("h"))
+    else:
+        all_ = words.select(F.explode(F.concat(*map(_shingles, lengths))).alias("s")).select("s.h")
+        rounds, each = -(-many // max(1, broadcast_rows)), None
+        for r in range(rounds):
+            part = lambda f, r=r: f.where(F.pmod("h", F.lit(rounds)) == r) if rounds > 1 else f
+            own = part(all_).join(F.broadcast(part(hashes)), "h", "left_semi")
+            each = own if each is None else each.unionByName(own)
+    return materialise(each.groupBy("h").agg(F.count("*").alias("freq")), "shingle-counts", few=True)
+
+
+def _places(words: DataFrame, hashes: DataFrame, lengths: list[int], size: int, literals: int) -> DataFrame:
+    """_kept, _row, n_words and _hits: (pos, h, from, around) for each place of a prefix; written."""
     n = F.size("_words")
 
-    def near(i: Column, k: int, h: Column) -> Column:
-        start = F.greatest(i - (size - k), F.lit(0))
-        return F.struct(i.alias("pos"), h.alias("h"), start.alias("from"), F.slice("_words", start + 1, 2 * size - k).alias("around"))
-
-    if hashes.count() <= literals:  # a scalar; the rows themselves are bounded by it
-        wanted = ", ".join(f"{r['h']}L" if r["h"] != -(1 << 63) else "bigint('-9223372036854775808')" for r in hashes.collect()) or "NULL"
-        found = []
-        for k in lengths:
-            hashed = ", ".join(f"get(_words, i + {j})" for j in range(k))
-            spots = F.expr(f"CASE WHEN size(_words) >= {k} THEN filter(sequence(0, size(_words) - {k}), i -> xxhash64({k}, {hashed}) IN ({wanted})) ELSE array() END")
-            found.append((k, spots))
-        step = words.select(*kept, "_words", *(s.alias(f"_at{k}") for k, s in found))
-        around = lambda k: F.transform(f"_at{k}", lambda i: near(i, k, _hash(F.col("_words"), i, k)))
+    def near(i: Column, k: Column, h: Column) -> Column:
+        start = F.greatest(i - (F.lit(size) - k), F.lit(0))
+        return F.struct(i.alias("pos"), h.alias("h"), start.alias("from"), F.slice("_words", start + 1, F.lit(2 * size) - k).alias("around"))
+
+    if hashes.count() <= literals:
+        wanted = _literals(hashes)
+        spots = {k: F.expr(f"CASE WHEN size(_words) >= {k} THEN filter(sequence(0, size(_words) - {k}), i -> {_hashed(k)} IN ({wanted})) ELSE array() END") for k in lengths}
+        step = words.select("_kept", "_words", *(s.alias(f"_at{k}") for k, s in spots.items()))
+        around = lambda k: F.transform(f"_at{k}", lambda i: near(i, F.lit(k), _hash(F.col("_words"), i, k)))
         hits = [around(k) for k in lengths]
-        step = step.select(*kept, n.cast("long").alias("n_words"), F.concat(*hits).alias("_hits"))
+        step = step.select("_kept", n.cast("long").alias("n_words"), F.concat(*hits).alias("_hits"))
         return materialise(step.withColumn("_row", F.monotonically_increasing_id()), "places")
     words = materialise(words.withColumn("_row", F.monotonically_increasing_id()), "doc-words")
-
-    def shingles(k: int) -> Column:
-        each = F.transform(F.sequence(F.lit(0), F.greatest(n - k, F.lit(0))), lambda i: F.struct(F.lit(k).alias("k"), i.alias("pos"), _hash(F.col("_words"), i, k).alias("h")))
-        return F.when(n >= k, each).otherwise(F.array().cast("array<struct<k:int,pos:int,h:bigint>>"))
-
-    parts = [shingles(k) for k in lengths]
-    all_ = words.select("_row", F.explode(F.concat(*parts)).alias("s")).select("_row", "s.*")
+    all_ = words.select("_row", F.explode(F.concat(*map(_shingles, lengths))).alias("s")).select("_row", "s.*")
     some = all_.join(hashes, "h", "left_semi").groupBy("_row").agg(F.collect_list(F.struct("k", "pos", "h")).alias("_found"))
     back = words.join(some, "_row", "left")
-
-    def spot(s: Column) -> Column:
-        start = F.greatest(s["pos"] - (F.lit(size) - s["k"]), F.lit(0))
-        return F.struct(s["pos"].alias("pos"), s["h"].alias("h"), start.alias("from"), F.slice("_words", start + 1, F.lit(2 * size) - s["k"]).alias("around"))
-
-    return materialise(back.select(*kept, n.cast("long").alias("n_words"), F.transform("_found", spot).alias("_hits"), "_row"), "places")
+    return materialise(back.select("_kept", n.cast("long").alias("n_words"), F.transform("_found", lambda s: near(s["pos"], s["k"], s["h"])).alias("_hits"), "_row"), "places")
 
 
 def _covered(stretches: Column) -> Column:
@@ -116,13 +133,14 @@ def find(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "
     windows = materialise(windows_of(items, size, shingle, item_id, item_text), "windows", few=True)
     tokens = windows.select("w", "len", "items", F.explode("shingles").alias("s")).select("w", "len", "items", "s.o", "s.h")
     lengths = [r[0] for r in windows.select(F.least("len", F.lit(shingle)).alias("k")).distinct().orderBy("k").collect()] or [shingle]
-    places = _places(docs, "_text", ["_kept"], tokens.select("h").distinct(), lengths, size, literals)
-    hits = places.select("_row", "n_words", F.explode("_hits").alias("p")).select("_row", "n_words", "p.*")
-    counts = hits.groupBy("h").agg(F.count("*").alias("freq"))
+    words = docs.select("_kept", words_of(F.col("_text")).alias("_words"))
+    counts = frequencies(words.select("_words"), tokens.select("h").distinct(), lengths, literals, broadcast_rows)
     rarest = tokens.join(counts, "h", "left").groupBy("w").agg(
         F.min(F.struct(F.coalesce("freq", F.lit(0)).alias("freq"), "o", "h")).alias("s"), F.first("len").alias("len"), F.first("items").alias("items")
     )
     prefixes = materialise(rarest.where("s.freq > 0").select("w", "len", "items", "s.o", "s.h"), "prefixes", few=True)
+    places = _places(words, prefixes.select("h").distinct(), lengths, size, literals)
+    hits = places.select("_row", "n_words", F.explode("_hits").alias("p")).select("_row", "n_words", "p.*")
     if prefixes.count() <= broadcast_rows:
         prefixes = F.broadcast(prefixes)
     start = F.col("pos") - F.col("o")
