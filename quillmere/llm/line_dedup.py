@@ -208,22 +208,22 @@ class LineStore:
         refs = line_keys(docs, new.least_chars)
         if keep_refs:
             refs = materialise(refs, "line-refs")
-        counts = materialise(_count(refs), "line-counts")
+        counts = materialise(_count(refs), "line-counts", few=True)
         return replace(new, refs=refs, counts=counts)._rebuilt()
 
     def insert(self, docs: DataFrame) -> LineStore:
         added = materialise(line_keys(docs, self.least_chars), "line-refs")
         counts = self.counts.unionByName(_count(added)).groupBy("hi", "lo").agg(F.sum("n_docs").alias("n_docs"), F.max("largest").alias("largest"))
-        return self._changed(self.refs.unionByName(added), materialise(counts, "line-counts"))
+        return self._changed(self.refs.unionByName(added), materialise(counts, "line-counts", few=True))
 
     def delete(self, doc_ids: DataFrame) -> LineStore:
         """Takes back the documents with these ids (column doc_id)."""
         gone = doc_ids.select(F.col("doc_id").cast("long").alias("gone")).distinct()
         match = F.col("doc_id").eqNullSafe(F.col("gone"))
-        refs = materialise(self.refs.join(gone, match, "left_anti"), "line-refs")
+        refs = materialise(self.refs.join(gone, match, "left_anti"), "line-refs", few=True)
         touched = self.refs.join(gone, match, "left_semi").select("hi", "lo").distinct()
         anew = _count(refs.join(touched, ["hi", "lo"], "left_semi"))
-        return self._changed(refs, materialise(self.counts.join(touched, ["hi", "lo"], "left_anti").unionByName(anew), "line-counts"))
+        return self._changed(refs, materialise(self.counts.join(touched, ["hi", "lo"], "left_anti").unionByName(anew), "line-counts", few=True))
 
     def _frequent(self, counts: DataFrame) -> DataFrame:
         return counts.where(F.col("n_docs") >= self.least_docs).select("hi", "lo")
@@ -266,16 +266,16 @@ class LineStore:
             return pd.DataFrame({"shard": [key[0]], "data": [Cuckoo.of(pdf["hi"].to_numpy(np.int64), pdf["lo"].to_numpy(np.int64)).to_bytes()]})
 
         changes = changes.select(_shard(self.bits).alias("shard"), "hi", "lo", "enters")
-        changed = materialise(self.filters.groupBy("shard").cogroup(changes.groupBy("shard")).applyInPandas(apply, "shard int, data binary"), "line-filters")
+        changed = materialise(self.filters.groupBy("shard").cogroup(changes.groupBy("shard")).applyInPandas(apply, "shard int, data binary"), "line-filters", few=True)
         full = changed.where("data is null").select("shard")
         again = self._frequent(self.counts).withColumn("shard", _shard(self.bits)).join(full, "shard", "left_semi").groupBy("shard").applyInPandas(whole, "shard int, data binary")
-        return replace(self, filters=materialise(changed.where("data is not null").unionByName(again), "line-filters"))
+        return replace(self, filters=materialise(changed.where("data is not null").unionByName(again), "line-filters", few=True))
 
     # --- dropping lines ---
 
     def dedup(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
         """docs with text replaced by what is kept, and n_lines and n_dropped (long)."""
-        drops = materialise(self.counts.where(F.col("n_docs") >= self.least_docs), "line-drops")
+        drops = materialise(self.counts.where(F.col("n_docs") >= self.least_docs), "line-drops", few=True)
         n = drops.count()
         size = 24 * n + (self.filters.agg(F.sum(F.octet_length("data"))).first()[0] or 0)
         keep = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "_drop")]

@@ -10,11 +10,9 @@ from quillmere.llm.line_dedup import LineStore
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    # as an incremental corpus: one half, then the other; a hundredth is deleted and comes back
-    rest = F.coalesce(F.pmod("doc_id", F.lit(100)), F.lit(1))
-    store = LineStore.build(docs.where(rest < 50)).insert(docs.where(rest >= 50))
-    some = docs.where(rest == 0)
-    store = store.delete(some.select("doc_id")).insert(some)
+    # as an incremental corpus: a hundredth of the documents is deleted and comes back
+    some = docs.where(F.pmod("doc_id", F.lit(100)) == 0)
+    store = LineStore.build(docs).delete(some.select("doc_id")).insert(some)
     kept = store.dedup(docs)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
