@@ -15,8 +15,9 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Tables of a few narrow columns are written by at most so many tasks for each core.
-TASKS_PER_CORE = 4
+#: Tables of a few narrow columns are written by about a task for each core, or for so many shuffle partitions where those
+#: are more, and not by one for each partition: small files cost more than they hold.
+PARTITIONS_A_TASK = 8
 #: Bytes of an Arrow batch between Spark and a Python worker.
 BATCH_BYTES = 4 << 20
 
@@ -54,7 +55,7 @@ def materialise(df: DataFrame, label: str, few: bool = False) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, label)
     if few:
-        df = df.coalesce(TASKS_PER_CORE * max(1, spark.sparkContext.defaultParallelism))
+        df = df.coalesce(max(1, spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // PARTITIONS_A_TASK))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
