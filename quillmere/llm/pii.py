@@ -105,10 +105,13 @@ SSN_WORDS = re.compile(r"\b(?:ssn|social security|national id|passport|tax id|ni
 SECRET_WORDS = re.compile(r"(?:token|secret|password|passwd|pwd|passphrase|api[_ -]?key|access[_ -]?key|private[_ -]?key|auth|bearer|credential|passwort|kennwort|contraseña|mot de passe)", re.I)
 WORDS = {"email": MAIL_WORDS, "ip": IP_WORDS, "card": CARD_WORDS, "phone": PHONE_WORDS, "iban": IBAN_WORDS, "ssn": SSN_WORDS, "secret": SECRET_WORDS}
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Za-z]{2}[0-9]{2}(?:[ -]?[A-Za-z0-9]){11,30}(?![A-Za-z0-9])")
-SSN = re.compile(r"(?<![0-9A-Za-z-])[0-9]{3}([- ])[0-9]{2}\1[0-9]{4}(?![0-9A-Za-z-])")
+SSN = re.compile(r"[0-9]{3}(?<![0-9A-Za-z-]...)([- ])[0-9]{2}\1[0-9]{4}(?![0-9A-Za-z-])")
 #: A name, a sign of assignment and what is assigned; a run without blanks that is long enough for a key; a key block.
 ASSIGNED = re.compile(r"(?:token|secret|passw(?:or)?d|passwort|kennwort|contraseña|pwd|passphrase|key|auth(?:orization)?|bearer|credentials?)[\"']?(?: ?[:=]+>? ?| is | )(?:bearer )?[\"'`]?([^\s\"'`,;<>]{6,})", re.I)
-LONG_RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}(?![A-Za-z0-9+/_=-])")
+ASSIGNED_WORDS = ("token", "secret", "passw", "kennwort", "contraseña", "pwd", "passphrase", "key", "auth", "bearer", "credential")
+RUN = LOCAL - frozenset(".%") | frozenset("/=")
+RUN_FROM_DIGIT = re.compile(r"[0-9][A-Za-z0-9+/_=-]*")
+TWO_DIGITS = re.compile(r"[0-9]{2}")
 KEY_BLOCK = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]*-----END [A-Z ]*PRIVATE KEY-----)?")
 PREFIXES = re.compile(r"(?:AKIA|ASIA|gh[pousr]_|github_pat_|xox[abprs]-|sk[-_]|pk_live_|AIza|eyJ|glpat-|npm_)")
 ENDINGS = frozenset("com org net edu gov info io de fr es it uk eu example test".split())
@@ -155,7 +158,11 @@ def candidates(text: str) -> Iterator[tuple[str, int, int]]:
             if m.end() - m.start() > 2:
                 yield ("ip", *m.span())
     yield from _numbers(text)
-    for m in IBAN.finditer(text):
+    taken = 0
+    for pair in TWO_DIGITS.finditer(text):  # digits are rare in prose: what starts from them leaves the rest of it alone
+        if pair.start() - 2 < taken or not (m := IBAN.match(text, pair.start() - 2)):
+            continue
+        taken = m.end()
         yield ("iban", *m.span())
         for blank in re.finditer(" ", m[0]):  # what follows the number may look like its next group
             if blank.start() >= 15:
@@ -163,11 +170,17 @@ def candidates(text: str) -> Iterator[tuple[str, int, int]]:
     if "-" in text or " " in text:
         for m in SSN.finditer(text):
             yield ("ssn", *m.span())
-    for m in LONG_RUN.finditer(text):
+    taken = 0
+    for m in RUN_FROM_DIGIT.finditer(text):
+        start = m.start()
+        while start > taken and text[start - 1] in RUN:
+            start -= 1
+        taken = m.end()
         # words alone, and numbers alone, are left to the other kinds
-        if any("0" <= c <= "9" for c in m[0]) and not m[0].isdigit():
-            yield ("secret", *m.span())
-    if SECRET_WORDS.search(text) or "key" in text.lower():
+        if m.end() - start >= 16 and not text[start : m.end()].isdigit():
+            yield ("secret", start, m.end())
+    lower = text.lower()
+    if any(w in lower for w in ASSIGNED_WORDS):
         for m in ASSIGNED.finditer(text):
             end = m.end(1)
             while end > m.start(1) + 6 and text[end - 1] in ".)]}:":
@@ -445,7 +458,15 @@ def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join([*out, text[end:]])
 
 
-_ANY = re.compile(r"[0-9@\[({<]| (?:at|arroba) |::|passw|secret|token|key|pwd", re.I).search
+_MARK = re.compile(r"[0-9@\[({<]").search
+_WORDS = (" at ", " arroba ", "::", *ASSIGNED_WORDS)
+
+
+def _any(text: str) -> bool:
+    """False only for texts without any candidate."""
+    return _MARK(text) is not None or any(map(text.lower().__contains__, _WORDS))
+
+
 _ADDED = (*(f"n_{k}" for k in KINDS), "base_spans", "spans", "n_spans")
 
 
@@ -466,8 +487,8 @@ def detect(df: DataFrame, text: str = "text", redacted: bool = False) -> DataFra
                 bases, every, clean, sums = [], [], [], []
                 for t in batch.column(len(names)).to_pylist():
                     t = t or ""
-                    base = base_spans(t) if _ANY(t) else []
-                    spans = base + added_spans(t, base) if _ANY(t) else []
+                    base = base_spans(t) if _any(t) else []
+                    spans = base + added_spans(t, base) if _any(t) else []
                     for kind, column in zip(KINDS, counts, strict=True):
                         column.append(sum(k == kind for k, _, _ in base))
                     bases.append(spell(base))
