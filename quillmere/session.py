@@ -23,7 +23,7 @@ def local_session(cpus: int | None = None, shuffle_partitions: int | None = None
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cpus))
         .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.execution.arrow.maxBytesPerBatch", "4194304")
+        .config("spark.sql.execution.arrow.maxBytesPerBatch", "2097152")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: are more, and not by one for each partition: small files cost more than they hold.
 PARTITIONS_A_TASK = 8
 #: Bytes of an Arrow batch between Spark and a Python worker.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 #: Folders made by operators that are being tidied up in this thread, innermost last.
 _making = threading.local()
@@ -69,6 +69,34 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
+def release() -> None:
+    """Gives what a Python worker has freed back to the system; the worker stays for later tasks, beside a growing JVM."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def releasing(run: Callable[[Iterator], Iterator], rows: int = 1 << 15) -> Callable[[Iterator], Iterator]:
+    """run, for mapInArrow, with batches of so many rows at most, and release() at the end of each task."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            for batch in run(batches):
+                for at in range(0, batch.num_rows, rows):
+                    yield batch.slice(at, rows)
+        finally:
+            release()
+
+    return wrapped
+
+
 def remove(spark: SparkSession, uri: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(uri)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
