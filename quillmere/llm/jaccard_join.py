@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from quillmere.llm import shingles
 from quillmere.llm.components import components
-from quillmere.shared import bound_batches, materialise, tidied
+from quillmere.shared import bound_batches, materialise, release, releasing, tidied
 
 THRESHOLD = 85
 SHINGLE = 4
@@ -120,7 +120,7 @@ def _scan(docs: DataFrame, k: int, bits: int) -> DataFrame:
         if size:
             yield pa.RecordBatch.from_pylist(list(_summed(held, bits)), _SCAN_KIND)
 
-    return materialise(docs.mapInArrow(scan, _SCAN), "sets")
+    return materialise(docs.mapInArrow(releasing(scan), _SCAN), "sets")
 
 
 def _frequencies(scanned: DataFrame) -> DataFrame:
@@ -247,7 +247,7 @@ def _post(docs: DataFrame, k: int, threshold: int, limit: int, sent) -> DataFram
                 if out[0]:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], schema=_POST_KIND)
 
-    return docs.mapInArrow(post, _POST)
+    return docs.mapInArrow(releasing(post), _POST)
 
 
 # --- lists ----------------------------------------------------------------------------------------------------------
@@ -337,7 +337,7 @@ def _lists(posted: DataFrame, threshold: int, held_rows: int) -> DataFrame:
         if rest is not None:
             yield from emit(rest)
 
-    return posted.mapInArrow(lists, _LIST)
+    return posted.mapInArrow(releasing(lists), _LIST)
 
 
 # --- verification ---------------------------------------------------------------------------------------------------
@@ -360,7 +360,7 @@ def _sets(wanted: DataFrame, docs: DataFrame, owners: DataFrame, k: int) -> Data
                 yield pa.RecordBatch.from_arrays([pa.array(names), pa.ListArray.from_arrays(pa.array(ends), pa.array(_signed(np.concatenate(found))))], names=["cls", "tokens"])
 
     owned = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_owner")), "left_semi").select("doc_id", "text")
-    return materialise(owned.mapInArrow(make, _SETS).dropDuplicates(["cls"]), "candidate-sets")
+    return materialise(owned.mapInArrow(releasing(make), _SETS).dropDuplicates(["cls"]), "candidate-sets")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, owners: DataFrame, k: int, threshold: int) -> DataFrame:
@@ -445,6 +445,7 @@ def _forests(members: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
 
         side = pdf["side"].to_numpy().astype(bool)
         links = forest(pdf["cls"].to_numpy(), [np.asarray(t) for t in pdf["tokens"]], pdf["component"].to_numpy(), side, bool(side.any()), threshold)
+        release()
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
     width = math.log(100 / threshold) * 1.000001  # rounding must not put sets that may link two bands apart

@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmere.shared import bound_batches, materialise, read_bytes, scratch, writing
+from quillmere.shared import bound_batches, materialise, read_bytes, releasing, scratch, writing
 
 MAGIC = b"QMTOKEN1"
 BLOCK = 256
@@ -215,7 +215,7 @@ class Encoder:
     that Arrow looks up; later ones only for the group of texts that they stand in.
     """
 
-    MOST = 500_000
+    MOST = 250_000
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
@@ -315,7 +315,7 @@ _FILES = "number int, part int, uri string, n_bytes long, n_docs long, n_tokens
 _FILE_KIND = pa.schema([("number", pa.int32()), ("part", pa.int32()), ("uri", pa.string()), *((k, pa.int64()) for k in ("n_bytes", "n_docs", "n_tokens", "n_blocks"))])
 #: A task goes on with a new file from so many ids on; texts are encoded in groups of about so many bytes.
 FILE_TOKENS = 1 << 26
-GROUP = 4 << 20
+GROUP = 2 << 20
 
 
 def _groups(batch: pa.RecordBatch, group: int) -> Iterator[pa.RecordBatch]:
@@ -355,7 +355,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end: int, doc_id: str = "doc_i
             yield pa.RecordBatch.from_pylist([{"number": number, "part": part, "uri": uri} | {k: done[k] for k in ("n_bytes", "n_docs", "n_tokens", "n_blocks")}], _FILE_KIND)
             part += 1
 
-    files = materialise(rows.repartitionByRange("d").sortWithinPartitions("d").mapInArrow(write, _FILES), "token-files")
+    files = materialise(rows.repartitionByRange("d").sortWithinPartitions("d").mapInArrow(releasing(write), _FILES), "token-files")
     before = Window.orderBy("number", "part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
     return files.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
@@ -383,7 +383,7 @@ def read_tokens(files: DataFrame, with_ids: bool = True) -> DataFrame:
 
     schema = _READ if with_ids else _READ.removesuffix(", ids array<int>")
     n = max(1, files.sparkSession.sparkContext.defaultParallelism)
-    return files.select("uri", "n_bytes", "start").repartition(4 * n).mapInArrow(read, schema)
+    return files.select("uri", "n_bytes", "start").repartition(4 * n).mapInArrow(releasing(read), schema)
 
 
 def _rows(rows: list[tuple], kinds: list) -> pa.RecordBatch:
