@@ -1,11 +1,12 @@
 import json
 import os
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillmere import catalog, cli
+from quillmere import catalog, catalog_store, cli
 from quillmere.functions import vectors
 from quillmere.operators import ann
 from quillmere.operators.ranks import ranged, with_rank
@@ -58,6 +59,46 @@ def test_bounds_lie_below_estimates(points):
     assert (bound <= estimate + 1e-9).all() and np.corrcoef(estimate, true)[0, 1] > 0.8
 
 
+@pytest.fixture(scope="module")
+def copies(spark):
+    """3000 vectors, every third one of 20 that are often repeated."""
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((3000, 16)).astype(np.float32)
+    x[::3] = x[rng.integers(1, 60, 1000) // 3 * 3]
+    x[5] = 0
+    frame = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "_id long, v array<float>").repartition(5)
+    return x, frame
+
+
+def test_block_brute_force_is_the_exact_search(copies):
+    x, frame = copies
+    got = {}
+    for r in ann.exact_block_search(frame, frame.where("_id % 500 < 4"), 10, 16).collect():
+        got.setdefault(r["query"], []).append((-r["score"], r["_id"]))
+    assert set(got) == {i for i in range(3000) if i % 500 < 4}
+    for i in (0, 1, 2, 3, 500, 2501):
+        want = [(r["_id"], r["score"]) for r in ann.exact(frame, x[i].tolist(), 10).collect()]
+        assert [(j, -s) for s, j in sorted(got[i])] == want
+
+
+def test_recall_plan_does_not_grow_with_queries(spark):
+    rows = spark.range(6000).select(F.col("id").alias("vec_id"), F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: F.sin(i * F.col("id")).cast("float")).alias("embedding"))
+    plan = catalog_store._recall(rows, spark.createDataFrame([], "query long, vec_id long"), 10)
+    assert plan._jdf.queryExecution().analyzed().toString().count("\n") < 100
+
+
+def test_graph_of_many_rows_is_made_at_once_and_reaches_all():
+    x = np.random.default_rng(2).standard_normal((2048, 64))
+    x[:300] = x[0]
+    began = time.process_time()
+    edges = ann.build_graph(x)
+    assert time.process_time() - began < 15
+    reached, front = {0}, [0]
+    while front:
+        front = [j for i in front for j in edges[i].tolist() if j >= 0 and j not in reached and not reached.add(j)]
+    assert len(reached) == 2048
+
+
 def test_scalar_quantization(points, spark):
     x, frame = points
     rows = frame.select("v", vectors.dequantize(vectors.quantize(F.col("v"))).alias("d"), vectors.quantize(F.col("v"))["step"].alias("s")).collect()
