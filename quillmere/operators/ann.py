@@ -467,11 +467,13 @@ def quantized_block_search(codes: DataFrame, model: Quantizer, queries: DataFram
                             open_[near[i]] = True
                             pool = np.flatnonzero(open_)
                             score = unit[pool] @ unit_q[at + i]
-                            top = np.argsort(-score, kind="stable")[:k]
-                            rows.append(pool[top])
+                            top = pool[score >= np.partition(score, -min(k, len(pool)))[-min(k, len(pool))] - 1e-9]
+                            rows.append(top)
                             own.append(np.full(len(top), at + i))
-                            scores.append(score[top])
-                        yield pa.RecordBatch.from_arrays([names.take(pa.array(np.concatenate(own))), b.column(0).take(pa.array(np.concatenate(rows))), pa.array(np.clip(np.concatenate(scores), -1.0, 1.0))], names=["query", key, "score"])
+                        rows, own = np.concatenate(rows), np.concatenate(own)
+                        scores, keys = _scores(x, q, rows, own), b.column(0).take(pa.array(rows))
+                        order, _ = _ranked(own, scores, keys, k)
+                        yield pa.RecordBatch.from_arrays([names.take(pa.array(own[order])), keys.take(pa.array(order)), pa.array(scores[order])], names=["query", key, "score"])
 
         found.append(codes.select(key, "v", "code", "norm", "agreement").mapInArrow(best, f"query {asked}, `{key}` {kind}, score double"))
     if not found:

@@ -81,6 +81,17 @@ def test_block_brute_force_is_the_exact_search(copies):
         assert [(j, -s) for s, j in sorted(got[i])] == want
 
 
+def test_approximate_searches_settle_copies_by_key(copies, monkeypatch):
+    x, frame = copies
+    monkeypatch.setattr(ann, "GRAPH_ROWS", 1000)
+    queries = frame.where("_id % 30 = 0")
+    want = {(r["query"], r["_id"]) for r in ann.exact_block_search(frame, queries, 10, 16).collect()}
+    codes, model = ann.quantized(frame, 16)
+    for found in (ann.graph_block_search(ann.graphs(frame, 16), queries, 10, 16), ann.quantized_block_search(codes, model, queries, 10, 16)):
+        got = {(r["query"], r["_id"]) for r in found.collect()}
+        assert len(want & got) >= 0.99 * len(want)
+
+
 def test_recall_plan_does_not_grow_with_queries(spark):
     rows = spark.range(6000).select(F.col("id").alias("vec_id"), F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: F.sin(i * F.col("id")).cast("float")).alias("embedding"))
     plan = catalog_store._recall(rows, spark.createDataFrame([], "query long, vec_id long"), 10)
