@@ -33,9 +33,13 @@ def tokenize(text: str) -> list[str]:
     return _PYTHON.findall(normalize(text))
 
 
+def is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.length(text)
+
+
 def normalized(text: Column) -> Column:
     """lower() folds exactly A-Z in texts of ASCII alone, many times faster than translate()."""
-    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, _FROM, _TO))
+    return F.when(is_ascii(text), F.lower(text)).otherwise(F.translate(text, _FROM, _TO))
 
 
 def spelled(norm: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quillmere import catalog, catalog_store, cli
 from quillmere.functions import vectors
-from quillmere.operators import ann
+from quillmere.operators import ann, prepared
 from quillmere.operators.ranks import ranged, with_rank
 from quillmere.operators.search import facet
 from quillmere.sources.snapshot import Snapshot
@@ -110,6 +110,20 @@ def test_graph_of_many_rows_is_made_at_once_and_reaches_all():
     assert len(reached) == 2048
 
 
+def test_prepared_lookup_of_many_rows(spark, tmp_path):
+    """As many candidates as are looked up by number; lists of several blocks; texts that lower() does not normalise."""
+    rows = spark.range(0, 12000, 1, 4).select("id", F.when(F.col("id") % 6 == 0, F.concat(F.lit("Ein Nadel\uff21 \U0001f600 im heu heu "), F.col("id"))).when(F.col("id") % 7 > 0, F.concat(F.lit("ein heu \u00fc "), F.col("id"))).alias("text"))
+    index = prepared.Index.build(catalog.table_of(rows, "id"), f"file://{tmp_path}/index")
+    for query in ('text:substr("nadela")', "text:nadela", 'text:substr("\U0001f600 i")'):
+        found = index.search(query)
+        assert found.mode == "postings"
+        assert {int(r["_id"]) for r in found.scored.collect()} == set(range(0, 12000, 6))
+    assert [tuple(r) for r in index.lookup("text", "heu").select("term", "holding", "occurrences").collect()] == [("heu", 10571, 12571)]
+    assert index.postings.where("term = 'heu' AND tf = 2").count() == 2000
+    # lists come without a shuffle, one row for many rows of the table
+    assert spark.read.parquet(f"file://{tmp_path}/index/postings").where("term = 'heu'").count() <= 8
+
+
 def test_scalar_quantization(points, spark):
     x, frame = points
     rows = frame.select("v", vectors.dequantize(vectors.quantize(F.col("v"))).alias("d"), vectors.quantize(F.col("v"))["step"].alias("s")).collect()
