@@ -23,7 +23,7 @@ from quillmere.functions import dates
 from quillmere.operators import ann
 from quillmere.plans import ast
 from quillmere.plans.parser import parse
-from quillmere.shared import scratch
+from quillmere.shared import passing, scratch
 from quillmere.sources import jsonl
 from quillmere.sources.snapshot import Manifest, Snapshot, write_lock
 
@@ -46,14 +46,17 @@ def _source(spark: SparkSession, rows: DataFrame, key: str, label: str) -> str:
     """A table as JSON lines in the order of its key; the key is named _id and a text."""
     folder = scratch(spark, label)
     fields = [F.col(key).cast("string").alias("_id"), *(c for c in rows.columns if c != key)]
-    rows.repartitionByRange(1, key).sortWithinPartitions(key).select(F.to_json(F.struct(*fields)).alias("value")).write.text(folder)
+    # files are numbered by ranges of the key, so that their names have its order
+    rows.repartitionByRange(key).sortWithinPartitions(key).select(F.to_json(F.struct(*fields)).alias("value")).write.text(folder, compression="gzip")
     return folder
 
 
 @lru_cache(maxsize=16)
 def _snapshot(spark: SparkSession, sf_dir: str, table: str) -> Snapshot:
     key = {"documents": "doc_id", "labels": "doc_id", "embeddings": "vec_id"}[table]
-    return Snapshot.build(spark, _source(spark, spark.read.parquet(f"{sf_dir}/{table}.parquet"), key, f"{table}-lines"), scratch(spark, f"{table}-snapshot"))
+    root = scratch(spark, f"{table}-snapshot")
+    with passing(spark):
+        return Snapshot.build(spark, _source(spark, spark.read.parquet(f"{sf_dir}/{table}.parquet"), key, f"{table}-lines"), root)
 
 
 _LINE = """'{"_id":"' || doc_id || '","quality":' || quality || ',"toxic":' || toxic || '}'"""

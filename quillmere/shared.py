@@ -47,7 +47,22 @@ def scratch(spark: SparkSession, label: str) -> str:
     return path
 
 
-def materialise(df: DataFrame, label: str, few: bool = False) -> DataFrame:
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Folders that are made within are removed at the end."""
+    if not hasattr(_making, "stack"):
+        _making.stack = []
+    made: list[str] = []
+    _making.stack.append(made)
+    try:
+        yield
+    finally:
+        _making.stack.pop()
+        for path in made:
+            remove(spark, path)
+
+
+def materialise(df: DataFrame, label: str, few: bool = False, compression: str = "snappy") -> DataFrame:
     """Writes df once to the shared folder and reads it back: lineage ends there, and what is nondeterministic is fixed.
 
     few: df is narrow and small against the input, so that one task may write several partitions of it.
@@ -56,7 +71,7 @@ def materialise(df: DataFrame, label: str, few: bool = False) -> DataFrame:
     path = scratch(spark, label)
     if few:
         df = df.coalesce(max(1, spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // PARTITIONS_A_TASK))
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -126,6 +126,18 @@ def numbered(lines: DataFrame, order: list[str]) -> DataFrame:
     return materialise(with_rank(ranged(lines, [F.col(c) for c in order], "lines"), "_row").select("_row", "line"), "numbered-lines")
 
 
+def read_numbered(spark: SparkSession, path: str) -> DataFrame:
+    """Nonblank lines of JSONL files and their places from 0. A split's lines stand in their order, so that only the splits
+    are put in order and no line is moved."""
+    text = spark.read.text(path).where(F.btrim("value", F.lit(" \t\r\n")) != "")
+    lines = text.select(F.col("_metadata.file_path").alias("_o1"), F.col("_metadata.file_block_start").alias("_o2"), F.monotonically_increasing_id().alias("_o3"), F.col("value").alias("line"))
+    lines = materialise(lines, "lines", compression="zstd")
+    splits = lines.groupBy("_o1", "_o2").agg(F.min("_o3").alias("_first"), F.count("*").alias("_rows"))
+    before = Window.orderBy("_o1", "_o2").rowsBetween(Window.unboundedPreceding, -1)
+    splits = materialise(splits.select("_o1", "_o2", "_first", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before")), "splits")
+    return lines.join(F.broadcast(splits), ["_o1", "_o2"]).select((F.col("_o3") - F.col("_first") + F.col("_before")).alias("_row"), "line")
+
+
 _FOUND = "field string, type string, dims int, first long, at int, code string, message string"
 _FOUND_KIND = pa.schema([("field", pa.string()), ("type", pa.string()), ("dims", pa.int32()), ("first", pa.int64()), ("at", pa.int32()), ("code", pa.string()), ("message", pa.string())])
 

@@ -26,7 +26,7 @@ from quillmere import errors
 from quillmere.operators import search as searching
 from quillmere.operators.prepared import Index
 from quillmere.plans.binder import Field, Schema
-from quillmere.shared import _filesystem, materialise, read_bytes, writing
+from quillmere.shared import _filesystem, materialise, passing, read_bytes, writing
 from quillmere.sources import jsonl
 
 
@@ -112,8 +112,8 @@ class Snapshot:
     def build(cls, spark: SparkSession, source: str, root: str) -> Snapshot:
         """From JSONL files; a snapshot that stands there already is replaced only when the new one is whole."""
         spark.conf.set("spark.sql.caseSensitive", "true")
-        with write_lock(_uri(root)):
-            return cls._write(spark, _uri(root), jsonl.numbered(jsonl.read_lines(spark, source), ["_o1", "_o2", "_o3"]))
+        with write_lock(_uri(root)), passing(spark):
+            return cls._write(spark, _uri(root), jsonl.read_numbered(spark, source))
 
     @classmethod
     def _write(cls, spark: SparkSession, root: str, lines: DataFrame) -> Snapshot:
@@ -126,7 +126,7 @@ class Snapshot:
             version = Manifest.read(root).version + 1
         except errors.NotFound:
             version = 1
-        jsonl.columns(lines, schema).write.mode("overwrite").parquet(f"{root}/v={version:06d}")
+        jsonl.columns(lines, schema).write.mode("overwrite").parquet(f"{root}/v={version:06d}", compression="zstd")
         manifest = Manifest(version, lines.count(), schema.fields, data_files(f"{root}/v={version:06d}"))
         manifest.publish(root)
         return cls(spark, root, manifest)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillmere import catalog, catalog_store, cli
+from quillmere import catalog, catalog_store, cli, shared
 from quillmere.functions import vectors
 from quillmere.operators import ann, prepared
 from quillmere.operators.ranks import ranged, with_rank
@@ -177,3 +177,14 @@ def test_registered_approximate_searches_recall(spark, name, monkeypatch):
         hits += len(set(ids[np.lexsort((ids, -score))[:10]].tolist()) & set(own))
     print(name, hits, 10 * len(asked))
     assert hits >= 0.9 * 10 * len(asked)
+
+
+def test_lines_are_numbered_in_the_order_of_files_and_nothing_is_left(spark, tmp_path, monkeypatch):
+    (tmp_path / "in").mkdir()
+    for f in range(3):
+        (tmp_path / "in" / f"{f}.jsonl").write_text("\n \n".join(json.dumps({"_id": f"{f}-{i}"}) for i in range(40 * (3 - f))) + "\n")
+    monkeypatch.setattr(shared, "base", lambda _: f"file://{tmp_path}/shared")
+    table = Snapshot.build(spark, f"file://{tmp_path}/in", str(tmp_path / "s"))
+    assert [r["_id"] for r in table.frame.orderBy("_row").collect()] == [f"{f}-{i}" for f in range(3) for i in range(40 * (3 - f))]
+    assert [r["_row"] for r in table.frame.orderBy("_row").collect()] == list(range(240))
+    assert not os.listdir(tmp_path / "shared" / "quillmere")
