@@ -201,32 +201,120 @@ class Reader:
 
 
 #: White space by Unicode; a space between two of these may not be cut at.
-_SPACE_CLASS = "[\\t-\\r\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
-_WIDE = f"{_SPACE_CLASS} {_SPACE_CLASS}"
+_SPACES = "\\t-\\r\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
+_WIDE = f"[{_SPACES}] [{_SPACES}]"
+#: Pieces that may stand in one text after line feeds: no white space at either end, but for a space in front of something else.
+_JOINS = f"(?s)^ ?[^{_SPACES}](?:.*[^{_SPACES}])?$"
+#: Pieces within which GPT-2's expression cuts nowhere.
+_SINGLE = r"^ ?(?:[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}]+|[0-9]+|[!-&(-/:-@\[-`{-~]+)$"
+
+_OTHER, _LETTER, _DIGIT, _SIGN, _APOSTROPHE, _SPACE, _FEED = range(7)
+
+
+def _kinds() -> np.ndarray:
+    """Kind of each byte; those beyond ASCII are _OTHER, and so are the rarer kinds of white space and control characters."""
+    kinds = np.full(256, _OTHER, np.uint8)
+    for b in range(0x21, 0x7F):
+        kinds[b] = _LETTER if chr(b).isalpha() else _DIGIT if chr(b).isdigit() else _SIGN
+    kinds[ord("'")], kinds[ord(" ")], kinds[ord("\n")] = _APOSTROPHE, _SPACE, _FEED
+    return kinds
+
+
+def _cuts() -> np.ndarray:
+    """Whether there is a cut between two kinds (8 * first + second), whatever stands around them."""
+    cuts = np.zeros((8, 8), bool)
+    cuts[:, _SPACE] = True  # not in texts with _WIDE
+    known = (_LETTER, _DIGIT, _SIGN, _APOSTROPHE)
+    for a in known:
+        cuts[a, _FEED] = True
+        for b in known:
+            cuts[a, b] = a != b and {a, b} != {_SIGN, _APOSTROPHE} and (a, b) != (_APOSTROPHE, _LETTER)
+    return cuts.reshape(-1)
+
+
+def _alphabet() -> np.ndarray:
+    """The character that stands for each byte in a byte-level vocabulary: itself where it can be seen, else one from U+0100 on."""
+    seen = np.zeros(256, bool)
+    seen[0x21:0x7F] = seen[0xA1:0xAD] = seen[0xAE:] = True
+    return np.where(seen, np.arange(256), 255 + np.cumsum(~seen)).astype("<u4")
+
+
+_KINDS, _CUTS, _ALPHABET = _kinds(), _cuts(), _alphabet()
+_FEED_SPELLED = chr(_ALPHABET[ord("\n")])
+#: A stretch is remembered in one of 2 ** SLOTS places, by a sum of its bytes with these weights.
+SLOTS = 21
+_WEIGHTS = np.random.default_rng(11).integers(0, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _slots(stretches: pa.Array) -> np.ndarray:
+    """The place of each stretch; none is empty."""
+    offsets = np.frombuffer(stretches.buffers()[1], np.int32, len(stretches) + 1, 4 * stretches.offset)
+    raw = np.frombuffer(stretches.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    starts = offsets[:-1] - offsets[0]
+    place = np.arange(len(raw), dtype=np.int32) - np.repeat(starts, np.diff(offsets))
+    return (np.add.reduceat(raw * _WEIGHTS[place & 63], starts) >> np.uint64(64 - SLOTS)).astype(np.int64)
+
+
+def _pieces(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Texts cut into pieces, and the place of each text's first piece and of the end. Pieces are slices of the texts' own bytes."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, 4 * texts.offset)
+    data = texts.buffers()[2] or pa.py_buffer(b"")
+    raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]]
+    kinds = _KINDS[raw]
+    # U+00C0 to U+00FF, letters but for the signs of multiplication and division
+    lead = np.flatnonzero(raw[:-1] == 0xC3)
+    lead = lead[(raw[lead + 1] & 0xDF) != 0x97]
+    kinds[lead] = kinds[lead + 1] = _LETTER
+    cut = np.zeros(len(raw) + 1, bool)
+    cut[1:-1] = _CUTS[(kinds[:-1] << 3) | kinds[1:]]
+    # a line feed alone between two others that are no white space
+    feed = np.flatnonzero(kinds[1:-1] == _FEED)
+    known = (kinds >= _LETTER) & (kinds <= _APOSTROPHE)
+    cut[feed[known[feed] & known[feed + 2]] + 2] = True
+    starts = offsets - offsets[0]
+    cut[starts] = True
+    bounds = np.flatnonzero(cut).astype(np.int32)
+    pieces = pa.StringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds + offsets[0]), data)
+    return pieces, np.searchsorted(bounds, starts)
 
 
 class Encoder:
     """Encodes texts; what came before is not encoded again.
 
-    A byte-level vocabulary cuts a text into pieces and encodes them one by one. There is always a cut before a space unless
-    white space stands on both sides of it, so a text without such spaces is the sequence of its stretches from one space to
-    the next: each new stretch goes through the tokenizer once, and ids are put together by number. Other texts, and those
-    that hold an added token of the vocabulary, go through it whole. Up to MOST stretches are remembered, as one string array
-    that Arrow looks up; later ones only for the group of texts that they stand in.
+    A byte-level vocabulary cuts a text into pieces by the expression of GPT-2 and encodes them one by one. Of its cuts those are
+    used that two bytes show by themselves: before a space, unless white space stands on both sides of it; between letters,
+    digits and other signs of ASCII and Latin-1, but not after an apostrophe; and around a line feed that stands alone. Each
+    new stretch between two of them goes through the tokenizer once, and ids are put together by number. Texts with such
+    spaces and those that hold an added token of the vocabulary go through it whole, and so do all texts if the tokenizer
+    cuts by anything else. Stretches without a cut within go to its model alone, in the alphabet of its vocabulary. Up to MOST
+    stretches are remembered, as one string array that a table of places leads to; later ones, and those whose place is
+    taken, only for the group of texts that they stand in.
     """
 
-    MOST = 250_000
+    MOST = 500_000
+    JOINED = 1024  # stretches that go through the tokenizer as one text
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
+        self.model = Tokenizer(self.whole.model)
+        self.model.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
+        made = json.loads(self.whole.to_str())
+        cutter, model = made["pre_tokenizer"] or {}, made["model"]
+        self.cuts = (
+            (cutter.get("type"), cutter.get("add_prefix_space"), cutter.get("use_regex", True)) == ("ByteLevel", False, True)
+            and model.get("type") == "BPE"
+            and not any(made.get(k) for k in ("normalizer", "truncation", "padding"))
+            and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix"))
+        )
         self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         # in this alphabet a character stands for a byte
         self.n_bytes = np.array([len(self.whole.id_to_token(i) or "") for i in range(self.whole.get_vocab_size())], np.int64)
         self.known, self.ids = pa.array([], pa.string()), np.zeros(0, np.uint32)
         self.ends = np.zeros(1, np.int64)  # of the ids of each known stretch, after a 0
+        self.places = np.full(1 << SLOTS, -1, np.int32)  # number of the known stretch in each place
 
     @staticmethod
     @functools.cache
@@ -237,72 +325,87 @@ class Encoder:
     def _each(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _spelled(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the stretches one after the other, and the number of ids of each.
-
-        Most go through the tokenizer as one text and are told apart by the bytes that their ids stand for; those that begin
-        or end in white space, which would change the cuts, go alone. A stretch stands without its space in front, and one
-        that has a space in front has none in the text.
-        """
-        lengths, parts = np.zeros(len(new), np.int64), []
-        plain = [i for i, x in enumerate(new) if x and not x[0].isspace() and not x[-1].isspace()]
-        if plain:
-            ids = np.array(self._each(["".join([" " + new[i] for i in plain])])[0], np.uint32)
-            stops = np.searchsorted(np.cumsum(self.n_bytes[ids]), np.cumsum([1 + len(new[i].encode()) for i in plain]), "left") + 1
-            lengths[plain] = np.diff(stops, prepend=0)
-            if len(plain) == len(new):
-                return ids, lengths
-            parts = np.split(ids, stops[:-1])
-        each: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(new)
-        for i, part in zip(plain, parts, strict=True):
-            each[i] = part
-        others = sorted(set(range(len(new))).difference(plain))
-        for i, ids in zip(others, self._each([new[i][1:] if new[i][:1] == " " else " " + new[i] for i in others]), strict=True):
-            each[i] = np.array(ids, np.uint32)
-            lengths[i] = len(ids)
-        return np.concatenate(each), lengths
-
-    def _learned(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        parts = [self._spelled(new[at : at + 1024]) for at in range(0, len(new), 1024)]
-        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    def _counts(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """How many ids stand for each of these numbers of bytes in a row."""
+        return np.diff(np.searchsorted(np.cumsum(self.n_bytes[ids]), np.cumsum(sizes), "left") + 1, prepend=0)
+
+    def _single(self, new: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of stretches (_SINGLE) one after the other, and the number of ids of each."""
+        text = "\n".join(new.to_pylist()).encode()
+        spelled = _ALPHABET[np.frombuffer(text, np.uint8)].tobytes().decode("utf-32-le").replace(_FEED_SPELLED, "\n")
+        ids = np.array(self.model.encode_batch_fast([spelled], add_special_tokens=False)[0].ids, np.uint32)
+        return ids, self._counts(ids, pc.binary_length(new).to_numpy())
+
+    def _joined(self, new: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same of stretches (_JOINS). They go through the tokenizer as one text, each after a line feed, and are told
+        apart by the bytes that their ids stand for."""
+        ids = np.array(self._each(["\n" + "\n".join(new.to_pylist())])[0], np.uint32)
+        counts = self._counts(ids, 1 + pc.binary_length(new).to_numpy())
+        return np.delete(ids, np.cumsum(counts) - counts), counts - 1
+
+    def _alone(self, new: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same of any stretches."""
+        each = self._each(new.to_pylist())
+        return np.array([i for ids in each for i in ids], np.uint32), np.array([len(ids) for ids in each], np.int64)
+
+    def _learned(self, found: pa.Array, missing: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The missing ones of the stretches found, in the order that they are learned in, their ids and the number of ids of each."""
+        new = found.take(pa.array(missing))
+        single = pc.match_substring_regex(new, _SINGLE).to_numpy(zero_copy_only=False)
+        joins = ~single & pc.match_substring_regex(new, _JOINS).to_numpy(zero_copy_only=False)
+        order, parts = [], []
+        for mine, learn in ((single, self._single), (joins, self._joined), (~single & ~joins, self._alone)):
+            some = missing[mine]
+            for at in range(0, len(some), self.JOINED):
+                order.append(some[at : at + self.JOINED])
+                parts.append(learn(found.take(pa.array(order[-1]))))
+        return np.concatenate(order), np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+    def _numbered(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The number of each piece, and the ids and the ends of the ids, after a 0, of all numbers."""
+        coded = pieces.dictionary_encode()
+        found = coded.dictionary
+        slots = _slots(found)
+        of = self.places[slots].astype(np.int64)
+        there = np.flatnonzero(of >= 0)
+        same = pc.equal(self.known.take(pa.array(of[there])), found.take(pa.array(there))).to_numpy(zero_copy_only=False)
+        of[there[~same]] = -1
+        ids, ends = self.ids, self.ends
+        missing = np.flatnonzero(of < 0)
+        if len(missing):
+            missing, more, lengths = self._learned(found, missing)
+            of[missing] = len(self.known) + np.arange(len(missing))
+            ids, ends = np.concatenate([ids, more]), np.concatenate([ends, ends[-1] + np.cumsum(lengths)])
+            kept = missing[: max(0, self.MOST - len(self.known))]
+            if len(kept):
+                self.known = pa.concat_arrays([self.known, found.take(pa.array(kept))])
+                self.ends = ends[: len(self.known) + 1].copy()
+                self.ids = ids[: self.ends[-1]].copy()
+                kept = kept[self.places[slots[kept]] < 0]
+                self.places[slots[kept]] = of[kept]
+        return of[coded.indices.to_numpy()], ids, ends
 
     def encode(self, texts: pa.Array, end: int) -> list[np.ndarray]:
         """Ids of each text (a string array without nulls), with the end id."""
-        odd = pc.match_substring_regex(texts, _WIDE)
-        for token in self.added:
-            odd = pc.or_(odd, pc.match_substring(texts, token))
+        texts = texts.cast(pa.string())
+        odd = pa.array(np.full(len(texts), not self.cuts))
+        if self.cuts:
+            odd = pc.match_substring_regex(texts, _WIDE)
+            for token in self.added:
+                odd = pc.or_(odd, pc.match_substring(texts, token))
         odd = odd.to_numpy(zero_copy_only=False)
-        out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
+        out: list[np.ndarray] = [np.array([end], np.uint32)] * len(texts)
         whole = np.flatnonzero(odd)
         for i, ids in zip(whole, self._each(texts.take(pa.array(whole)).to_pylist()), strict=True):
             out[i] = np.append(np.array(ids, np.uint32), np.uint32(end))
         plain = np.flatnonzero(~odd)
         if not len(plain):
             return out
-        lists = pc.split_pattern(texts.take(pa.array(plain)), " ")
-        flat, begin = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
-        first = np.zeros(len(flat), bool)
-        first[begin[:-1]] = True
-        heads = pc.binary_join_element_wise(pa.scalar(" "), flat.filter(pa.array(first)), pa.scalar(""))
-        words = pa.concat_arrays([flat.filter(pa.array(~first)), heads])
-        del flat, lists
-        at = pc.index_in(words, value_set=self.known)
-        number = at.fill_null(0).to_numpy().astype(np.int64)
-        missing = at.is_null()
-        new = words.filter(missing).dictionary_encode()
-        ids, ends = self.ids, self.ends
-        if len(new):
-            number[missing.to_numpy(zero_copy_only=False)] = len(self.known) + new.indices.to_numpy().astype(np.int64)
-            more, lengths = self._learned(new.dictionary.to_pylist())
-            ids, ends = np.concatenate([ids, more]), np.concatenate([ends, ends[-1] + np.cumsum(lengths)])
-            room = self.MOST - len(self.known)
-            if room > 0:
-                self.known = pa.concat_arrays([self.known, new.dictionary.slice(0, room)])
-                self.ends = ends[: len(self.known) + 1].copy()
-                self.ids = ids[: self.ends[-1]].copy()
-        numbers = np.empty(len(first), np.int64)
-        numbers[~first], numbers[first] = number[: len(number) - len(plain)], number[len(number) - len(plain) :]
-        lengths = ends[numbers + 1] - ends[numbers]
+        pieces, begin = _pieces(texts.take(pa.array(plain)) if len(whole) else texts)
+        if not len(pieces):
+            return out
+        numbers, ids, ends = self._numbered(pieces)
+        lengths = np.diff(ends)[numbers]
         stops = np.cumsum(lengths)
         spelled = ids[np.repeat(ends[numbers] - stops + lengths, lengths) + np.arange(int(stops[-1]))]
         bounds = np.concatenate([[0], stops])[begin]

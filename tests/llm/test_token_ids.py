@@ -56,6 +56,45 @@ def test_encoder_agrees_with_the_tokenizer(monkeypatch):
             assert [x.tolist() for x in e.encode(pa.array(texts), 2)] == [[*x.ids, 2] for x in t.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_a_word_is_learned_once_whatever_stands_after_it():
+    words = [f"{a}{b}{c}" for a in "kmprt" for b in ("a", "é", "ou") for c in ("lu", "ß", "nd")]
+    texts = [f"{w}{sign}\n{w} {w}{sign} ({w}) {w}" for w in words for sign in (",", ".", "...", "!", "###", ":", "'", "7", '"')]
+    e = token_ids.Encoder(PATH)
+    got = e.encode(pa.array(texts), 2)
+    assert [x.tolist() for x in got] == [[*x.ids, 2] for x in Tokenizer.from_file(PATH).encode_batch(texts, add_special_tokens=False)]
+    assert len(e.known) <= 2 * len(words) + 40  # with and without a space in front, and the signs
+
+
+def test_cuts_agree_with_the_tokenizer(monkeypatch):
+    t = Tokenizer.from_file(PATH)
+    rng = random.Random(9)
+    some = [" ", " ", "\n", "\n", "  ", "\t", "\r", "\x1c", "\x85", "\xa0", "\u2028", "　", "\u200b", "\0", "a", "bc", "S", "'", "'", "s", "'ll", "7", "42", ".", ",", "-", "(", "###", "_", "<|"]
+    some += ["À", "ÿ", "é", "ß", "×", "÷", "ª", "º", "µ", "²", "½", "¿", "«", "Ā", "я", "字", "̈", "١", "😀", "\u200d", "\ud7ff", "\ufeff"]
+    texts = ["".join(rng.choice(some) for _ in range(rng.randrange(30))) for _ in range(6000)]
+    texts += [f"{a}{b}{c}" for a in some for b in some for c in ("", "\n", " x", "a", "'s")]
+    want = [[*x.ids, 2] for x in t.encode_batch(texts, add_special_tokens=False)]
+    whole = pa.array(["none", *texts])
+    for most, slots, group in ((500_000, 21, 500), (500_000, 3, 97), (40, 21, 1000), (0, 21, 5000)):
+        monkeypatch.setattr(token_ids.Encoder, "MOST", most)
+        monkeypatch.setattr(token_ids, "SLOTS", slots)
+        e = token_ids.Encoder(PATH)
+        for _ in range(2):
+            assert [x.tolist() for at in range(1, len(whole), group) for x in e.encode(whole.slice(at, group), 2)] == want
+        assert len(e.known) <= most
+
+
+def test_other_tokenizers_get_whole_texts(tmp_path):
+    from tokenizers import pre_tokenizers
+
+    texts = ["a (b) don't\n12,x é", "", "x.y", "  a  b"]
+    t = Tokenizer.from_file(PATH)
+    for cutter in (pre_tokenizers.ByteLevel(add_prefix_space=True), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)):
+        t.pre_tokenizer = cutter
+        path = str(tmp_path / "other.json")
+        t.save(path)
+        assert [x.tolist() for x in token_ids.Encoder(path).encode(pa.array(texts), 2)] == [[*x.ids, 2] for x in t.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_documents_come_back_in_order(spark):
     rng = random.Random(6)
     rows = [(i, rng.choice([None, "", prose(rng, rng.randrange(1, 90))]), None) for i in range(300)] + [(None, "none", None), (5, "again", None), (1000, "long " * 40_000, None)]
